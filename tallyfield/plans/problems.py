@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.annotations import task_ballot
 from ..functions.identity import user_key
 from ..operators import dewey, sessions, skew
+from ..operators.ballots import first_questions
 from ..sources.tables import table
 
 GAP_US = 15 * 60 * 1_000_000
@@ -25,17 +26,6 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_sessions(spark, folder).select("user_key", "start_us", "end_us")
 
 
-def first_questions(spark: SparkSession, folder: str) -> DataFrame:
-    """``workflow_id, task, n_answers`` of the workflows that open with a question with one answer."""
-    entry = F.expr("variant_get(parse_json(tasks), '$', 'map<string, variant>')[first_task]")
-    return (
-        table(spark, folder, "workflows")
-        .select(F.col("id").alias("workflow_id"), F.col("first_task").alias("task"), entry.alias("t"))
-        .where("try_variant_get(t, '$.type', 'string') = 'single'")
-        .select("workflow_id", "task", F.expr("size(try_variant_get(t, '$.answers', 'array<variant>'))").alias("n_answers"))
-    )
-
-
 def _keyed(rows: DataFrame, *columns: str) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(k).alias("key_field"), F.col(k).cast("long").alias("key_value")) for k in ("subject_id", "workflow_id")))
     return rows.select(F.explode(keys).alias("key"), *columns).select("key.*", *columns)
@@ -43,7 +33,7 @@ def _keyed(rows: DataFrame, *columns: str) -> DataFrame:
 
 def p4_key_results(spark: SparkSession, folder: str) -> DataFrame:
     """Rows, volunteers and answers to the first question of every subject and workflow, heavy keys marked."""
-    questions = first_questions(spark, folder)
+    questions = first_questions(table(spark, folder, "workflows"))
     rows = (
         table(spark, folder, "classifications")
         .join(F.broadcast(questions), "workflow_id", "left")  # one row for each workflow of the project
