@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyfield.operators.ballots import ballots, first_questions
 from tallyfield.sources.tables import table
 
-from . import consensus
+from . import consensus, leakage
 
 
 def _consensus(spark: SparkSession, folder: str) -> consensus.Consensus:
@@ -28,9 +28,29 @@ def p1_volunteers(spark: SparkSession, folder: str) -> DataFrame:
     return _consensus(spark, folder).volunteers
 
 
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Items that leaked: documents that hold them, sources, longest passage."""
+    found = p6_leaks(spark, folder).join(table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
+    return (
+        found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("source").alias("sources"), F.max("passage").alias("longest"))
+        .join(table(spark, folder, "eval_items").select("item_id", "suite"), "item_id")
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_consensus": p1_consensus,
     "p1_volunteers": p1_volunteers,
+    "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
+    "p6_items": p6_items,
 }
 SQL: dict[str, str] = {}
