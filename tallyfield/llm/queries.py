@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyfield.operators.ballots import ballots, first_questions
 from tallyfield.sources.tables import table
 
-from . import consensus, leakage
+from . import consensus, leakage, truncation
 
 
 def _consensus(spark: SparkSession, folder: str) -> consensus.Consensus:
@@ -45,10 +45,30 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation(table(spark, folder, "documents")).documents
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_documents(spark, folder).select("doc_id")
+
+
+def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation(table(spark, folder, "documents")).sources
+
+
+def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation(table(spark, folder, "documents")).limits
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_consensus": p1_consensus,
     "p1_volunteers": p1_volunteers,
+    "p8_found": p8_found,
+    "p8_documents": p8_documents,
+    "p8_sources": p8_sources,
+    "p8_limits": p8_limits,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
     "p6_items": p6_items,
