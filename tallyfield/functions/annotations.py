@@ -35,3 +35,16 @@ def task_ballot(annotations: Column, task: Column, n_answers: Column) -> Column:
     )
     valid = F.filter(ballots, lambda b: b.isNotNull())
     return F.try_element_at(valid, F.lit(-1))
+
+
+def written_lines(annotations: Column) -> Column:
+    """All texts that marks carry, in their order: ``text``, then the text values of ``details``."""
+    items = F.flatten(F.transform(entries(annotations), lambda e: F.coalesce(F.from_json(e["value"], "array<string>"), F.array().cast("array<string>"))))
+    marks = F.transform(F.filter(items, lambda i: i.startswith("{")), lambda i: F.from_json(i, "struct<text:string,details:string>"))
+
+    def lines(mark: Column) -> Column:
+        details = F.coalesce(F.from_json(mark["details"], "array<string>"), F.array().cast("array<string>"))
+        said = F.transform(details, lambda d: F.from_json(d, "struct<value:string>")["value"])
+        return F.concat(F.array(mark["text"]), said)
+
+    return F.filter(F.flatten(F.transform(marks, lines)), lambda x: x.isNotNull())
