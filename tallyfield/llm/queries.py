@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfield.functions.annotations import written_lines
 from tallyfield.operators.ballots import ballots, first_questions
 from tallyfield.sources.tables import table
 
-from . import consensus, leakage, truncation
+from . import clusters, consensus, leakage, truncation
 
 
 def _consensus(spark: SparkSession, folder: str) -> consensus.Consensus:
@@ -28,6 +29,22 @@ def p1_volunteers(spark: SparkSession, folder: str) -> DataFrame:
     return _consensus(spark, folder).volunteers
 
 
+LEDGER = 2103
+
+
+def _transcriptions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "classifications").where(F.col("workflow_id") == LEDGER)
+    return rows.select("id", F.array_join(written_lines(F.col("annotations")), "\n").alias("text"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.clusters(_transcriptions(spark, folder)).members.select("cluster_id", "id")
+
+
+def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.clusters(_transcriptions(spark, folder)).summary
+
+
 def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -65,6 +82,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_consensus": p1_consensus,
     "p1_volunteers": p1_volunteers,
+    "p3_found": p3_found,
+    "p3_clusters": p3_clusters,
     "p8_found": p8_found,
     "p8_documents": p8_documents,
     "p8_sources": p8_sources,
