@@ -9,7 +9,7 @@ from tallyfield.functions.annotations import written_lines
 from tallyfield.operators.ballots import ballots, first_questions
 from tallyfield.sources.tables import table
 
-from . import clusters, consensus, leakage, truncation
+from . import clusters, consensus, leakage, mixture, truncation
 
 
 def _consensus(spark: SparkSession, folder: str) -> consensus.Consensus:
@@ -62,6 +62,24 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _mixture(spark: SparkSession, folder: str, **settings) -> mixture.Mixture:
+    return mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), mixture.Settings(**settings))
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest mixture in which every source that has documents meets its target."""
+    return _mixture(spark, folder).documents
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).shares
+
+
+def p7_budget_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of a mixture of fixed size, for which some sources are too small whatever their repeats."""
+    return _mixture(spark, folder, budget=1_000_000).shares
+
+
 def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation(table(spark, folder, "documents")).documents
 
@@ -84,6 +102,9 @@ QUERIES = {
     "p1_volunteers": p1_volunteers,
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p7_budget_shares": p7_budget_shares,
     "p8_found": p8_found,
     "p8_documents": p8_documents,
     "p8_sources": p8_sources,
