@@ -16,7 +16,10 @@ def plain_json(text: Column) -> Column:
 
 def entries(annotations: Column) -> Column:
     """Array of (task, value), ``value`` as JSON text (strings without quotes); null where it can't be read."""
-    return F.from_json(plain_json(annotations), ENTRY)
+    plain = plain_json(annotations)
+    # one element that is no object makes the whole array unreadable; then each is read by itself
+    each = F.transform(F.from_json(plain, "array<string>"), lambda e: F.from_json(e, "struct<task:string,value:string>"))
+    return F.coalesce(F.from_json(plain, ENTRY), F.filter(each, lambda e: e.isNotNull()))
 
 
 def index_ballot(value: Column, n_answers: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,6 +46,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a column that is computed once for each row.
+
+    Filters and later projections aren't pushed through the generator, so a costly expression isn't repeated in them.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of stages whose results have been written (it waits for its driver's garbage)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only where the counted ``rows`` stay within ``limit``; else leave the choice to Spark."""
     return F.broadcast(df) if rows <= limit else df
