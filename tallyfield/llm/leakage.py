@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.text import words
-from tallyfield.session import broadcast_if_small, durable
+from tallyfield.session import broadcast_if_small, durable, once
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,7 @@ def leaks(documents: DataFrame, items: DataFrame, settings: Settings = Settings(
     item = durable(item_words(items, settings).where(F.size("w") >= settings.passage).dropDuplicates(["item_id"]))
     at_item = item.select("item_id", F.size("w").alias("m"), F.posexplode(shingles(F.col("w"), n)).alias("q", "s"))
     wanted = durable(at_item.select("s").distinct())
-    doc = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
+    doc = once(documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), "w", words(F.col("text"))).drop("text")
     doc = doc.where(F.size("w") >= settings.passage)
     at_doc = doc.select("doc_id", F.size("w").alias("d"), F.posexplode(shingles(F.col("w"), n)).alias("p", "s"))
     hits = durable(at_doc.join(broadcast_if_small(wanted, wanted.count(), settings.broadcast_rows), "s"))
