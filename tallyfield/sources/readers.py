@@ -27,16 +27,16 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLASSIFICATIONS).json(path)
 
 
-def legacy(spark: SparkSession, path: str) -> DataFrame:
-    """Documents that name a subject by ``zooniverse_id``: ``subject, user_key, annotations``, the first row of each pair.
+def legacy(spark: SparkSession, path: str, subject: str = "subject") -> DataFrame:
+    """Documents that name a subject in the field ``subject``: ``subject, user_key, annotations``, the first row of each pair.
 
     The user is the name, else the address; documents whose second annotation says they were finished are left out.
     """
-    schema = "zooniverse_id string, user_name string, user_ip string, id bigint, annotations string"
+    schema = f"`{subject}` string, user_name string, user_ip string, id bigint, annotations string"
     rows = spark.read.schema(schema).json(path)
     rows = rows.where(F.get_json_object("annotations", "$[1].finished_at").isNull())
     key = F.coalesce("user_name", "user_ip")
-    return rows.groupBy(F.col("zooniverse_id").alias("subject"), key.alias("user_key")).agg(F.min_by("annotations", "id").alias("annotations"))
+    return rows.groupBy(F.col(subject).alias("subject"), key.alias("user_key")).agg(F.min_by("annotations", "id").alias("annotations"))
 
 
 def species_votes(spark: SparkSession, path: str) -> DataFrame:
