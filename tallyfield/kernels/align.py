@@ -48,27 +48,34 @@ def _path(score: np.ndarray, open_gap: float, extend: float) -> list[tuple[int |
     """Columns and characters paired along the best alignment with affine gap costs."""
     n, m = score.shape
     low = -1e9
-    best = np.full((3, n + 1, m + 1), low)  # 0: pair, 1: gap in the text, 2: gap in the profile
-    back = np.zeros((3, n + 1, m + 1), np.int8)
-    best[0, 0, 0] = 0
-    for i in range(1, n + 1):
-        best[1, i, 0], back[1, i, 0] = -open_gap - extend * (i - 1), 0 if i == 1 else 1
+    # states: 0 pair, 1 gap in the text, 2 gap in the profile; plain lists, as single array cells are slow to reach
+    pair, up, side = [0.0], [low], [low]
     for j in range(1, m + 1):
-        best[2, 0, j], back[2, 0, j] = -open_gap - extend * (j - 1), 0 if j == 1 else 2
+        pair.append(low)
+        up.append(low)
+        side.append(-open_gap - extend * (j - 1))
+    back = [[(0, 0, 0 if j == 1 else 2) for j in range(m + 1)]]
     for i in range(1, n + 1):
+        row = score[i - 1].tolist()
+        p, u, v = [low], [-open_gap - extend * (i - 1)], [low]
+        trace = [(0, 0 if i == 1 else 1, 0)]
         for j in range(1, m + 1):
-            d = best[:, i - 1, j - 1]
-            k = int(d.argmax())
-            best[0, i, j], back[0, i, j] = d[k] + score[i - 1, j - 1] - 0.3, k
-            u = best[:, i - 1, j] - (open_gap, extend, open_gap)
-            k = int(u.argmax())
-            best[1, i, j], back[1, i, j] = u[k], k
-            v = best[:, i, j - 1] - (open_gap, open_gap, extend)
-            k = int(v.argmax())
-            best[2, i, j], back[2, i, j] = v[k], k
-    i, j, k, out = n, m, int(best[:, n, m].argmax()), []
+            a, b, c = pair[j - 1], up[j - 1], side[j - 1]
+            k0 = 0 if a >= b and a >= c else 1 if b >= c else 2
+            p.append((a, b, c)[k0] + row[j - 1] - 0.3)
+            a, b, c = pair[j] - open_gap, up[j] - extend, side[j] - open_gap
+            k1 = 0 if a >= b and a >= c else 1 if b >= c else 2
+            u.append((a, b, c)[k1])
+            a, b, c = p[j - 1] - open_gap, u[j - 1] - open_gap, v[j - 1] - extend
+            k2 = 0 if a >= b and a >= c else 1 if b >= c else 2
+            v.append((a, b, c)[k2])
+            trace.append((k0, k1, k2))
+        pair, up, side = p, u, v
+        back.append(trace)
+    last = (pair[m], up[m], side[m])
+    i, j, k, out = n, m, max(range(3), key=lambda x: last[x]), []
     while i or j:
-        before = int(back[k, i, j])
+        before = back[i][j][k]
         if k == 0:
             i, j = i - 1, j - 1
             out.append((i, j))
