@@ -10,7 +10,12 @@ GAP, OUTSIDE, FEW, DISAGREE = (chr(c) for c in (24, 25, 26, 27))
 
 def _scores(profile: list[dict[str, int]], text: str) -> np.ndarray:
     total = max(sum(profile[0].values()), 1) if profile else 1
-    return np.array([[(c.get(ch, 0) + 0.5 * (c.get(ch.lower(), 0) + c.get(ch.upper(), 0))) / total for ch in text] for c in profile]).reshape(len(profile), len(text))
+    out = np.zeros((len(profile), len(text)))
+    for ch in set(text):
+        low, up = ch.lower(), ch.upper()
+        at = [j for j, x in enumerate(text) if x == ch]
+        out[:, at] = np.array([(c.get(ch, 0) + 0.5 * (c.get(low, 0) + c.get(up, 0))) / total for c in profile]).reshape(-1, 1)
+    return out
 
 
 def align(texts: list[str], open_gap: float = 0.85, extend: float = 0.1) -> list[str]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import align
 from ..kernels import cluster as kernels
+from ..session import durable
 
 LINE = ["workflow_id", "subject_id", "line"]
 
@@ -66,9 +67,10 @@ def consensus_lines(rows: DataFrame, share: float = 0.65, most: int = 64) -> Dat
     sizes = variants.groupBy(*LINE).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("chunks"), F.sum("n").alias("volunteers"), F.count(F.lit(1)).alias("texts"))
     placed = variants.join(sizes, LINE).withColumn("chunk", F.pmod(F.xxhash64("text"), F.col("chunks")).cast("int"))
     schema = "workflow_id int, subject_id long, line int, text string, n long, agreement double"
-    first = placed.groupBy(*LINE, "chunk").applyInPandas(_voted(share), schema)
-    second = first.groupBy(*LINE).applyInPandas(_voted(share), schema)
-    return second.join(sizes, LINE).select(*LINE, "text", "agreement", "texts", "volunteers")
+    voted = durable(placed.groupBy(*LINE, "chunk").applyInPandas(_voted(share), schema).join(sizes, LINE))
+    several = voted.where("chunks > 1").select(*LINE, "text", "n", "agreement").groupBy(*LINE).applyInPandas(_voted(share), schema)
+    out = voted.where("chunks = 1").select(*LINE, "text", "agreement").unionByName(several.select(*LINE, "text", "agreement"))
+    return out.join(sizes, LINE).select(*LINE, "text", "agreement", "texts", "volunteers")
 
 
 def _voted(share: float):
