@@ -92,10 +92,12 @@ def leaks(documents: DataFrame, items: DataFrame, settings: Settings = Settings(
         .where(F.col("overlap") >= settings.passage).groupBy("doc_id", "item_id").agg(F.collect_set("o").alias("offsets"))
     )
     candidates = durable(candidates)
-    texts = doc.dropDuplicates(["doc_id"]).join(candidates.select("doc_id").distinct(), "doc_id")
+    held_by = candidates.select("doc_id").distinct()
+    few = documents.where("text IS NOT NULL").select("doc_id", "text").join(held_by, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = once(few, "w", words(F.col("text"))).drop("text")
     checked = candidates.join(texts, "doc_id").join(item.withColumnRenamed("w", "v"), "item_id")
     longest = F.array_max(F.transform("offsets", lambda o: _longest(F.col("w"), F.col("v"), o, settings)))
-    return checked.select("doc_id", "item_id", longest.alias("r")).where(F.col("r.run") >= settings.passage).select(
+    return once(checked, "r", longest).where(F.col("r.run") >= settings.passage).select(
         "doc_id", "item_id", F.col("r.run").alias("passage"), F.col("r.changed").alias("changed")
     )
 
