@@ -508,7 +508,7 @@ def polygon_consensus(spark, folder):
 
 
 def _points(spark, folder, tool: int):
-    rows = marks(spark, folder).where((F.col("shape") == "point") & (F.col("tool") == tool) & (F.col("workflow_id") != 2102))
+    rows = marks(spark, folder).where((F.col("shape") == "point") & (F.col("tool") == tool))
     return rows.select("workflow_id", "subject_id", F.concat_ws(":", "id", "item").alias("pid"), F.get("params", F.lit(0)).alias("x"), F.get("params", F.lit(1)).alias("y"))
 
 
