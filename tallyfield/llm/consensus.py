@@ -29,7 +29,7 @@ WEIGHTS = "user_key string, workflow_id int, answer int, own array<float>"
 
 @dataclass(frozen=True)
 class Settings:
-    min_ballots: int = 5  # subjects with fewer take part but give no consensus row
+    min_ballots: int = 5  # subjects with fewer take part but give no consensus row; with 1 every subject gives one
     max_rounds: int = 8
     stable: float = 0.004  # share of consensus answers that may still change in the last round
     prior_accuracy: float = 0.7  # smoothing of a volunteer's accuracy, worth prior_ballots
@@ -50,34 +50,39 @@ def consensus(ballots: DataFrame, settings: Settings = Settings()) -> Consensus:
 
     Ties between answers go to the lowest index. Ballots with nulls are left out; a ballot must be one row for
     each volunteer, subject and workflow; a subject's only ballot says nothing about its volunteer, who keeps the
-    prior accuracy if there are no others; an empty table gives empty results.
+    prior accuracy if there are no others, and its agreement is null; an empty table gives empty results.
     """
     keys = ["workflow_id", "subject_id"]
     votes = durable(ballots.select(*keys, "task", "n_answers", "user_key", "answer").dropna())
     sizes = {r["workflow_id"]: r["k"] for r in votes.groupBy("workflow_id").agg(F.max("n_answers").alias("k")).collect()}
     most = max(sizes.values(), default=1)
-    weights = users = before = None
-    scores, rounds = durable(_scores(votes, None, most, None)), 0
+    weights = users = before = unknown = None
+    scores, rounds = durable(_scores(votes, None, most, None, None)), 0
     while True:
         prior, changed = _labels(scores, before, sizes)
         if rounds >= settings.max_rounds or changed <= settings.stable:
             break
         users = durable(_records(votes, weights, scores, settings))
-        weights = _weights(users, _shared(users, sizes, settings), sizes, prior, settings)
+        shared = _shared(users, sizes, settings)
+        weights, unknown = _weights(users, shared, sizes, prior, settings), _unknown(shared, sizes, prior, settings)
         before = scores.select(*keys, F.col("label").alias("last"))
-        scores = durable(_scores(votes, weights, most, prior))
+        scores = durable(_scores(votes, weights, most, prior, unknown))
         rounds += 1
     return Consensus(_subjects(scores, settings), _volunteers(users, votes, settings), rounds)
 
 
-def _scores(votes: DataFrame, weights: DataFrame | None, most: int, prior: dict[int, np.ndarray] | None) -> DataFrame:
-    """``workflow_id, subject_id, task, n, counts, z, label``: summed weights for each possible truth."""
+def _scores(votes: DataFrame, weights: DataFrame | None, most: int, prior: dict[int, np.ndarray] | None, unknown: dict[int, np.ndarray] | None) -> DataFrame:
+    """``workflow_id, subject_id, task, n, counts, z, label``: summed weights for each possible truth.
+
+    Volunteers without a record in a workflow, whose ballots there all stand alone, weigh as ``unknown``.
+    """
     if weights is None:
         own = [F.when(F.col("answer") == t, 1.0).otherwise(0.0) for t in range(most)]
         rows = votes
     else:
-        own = [F.get("own", F.lit(t)).cast("double") for t in range(most)]
-        rows = votes.join(weights.hint("shuffle_hash"), ["user_key", "workflow_id", "answer"])
+        plain = F.create_map(*(x for w, u in unknown.items() for x in (F.lit(w), F.array(*(F.array(*(F.lit(float(v)) for v in u[:, a])) for a in range(u.shape[1]))))))
+        own = [F.coalesce(F.get("own", F.lit(t)).cast("double"), F.get(F.get(plain[F.col("workflow_id")], F.col("answer")), F.lit(t))) for t in range(most)]
+        rows = votes.join(weights.hint("shuffle_hash"), ["user_key", "workflow_id", "answer"], "left")
     summed = rows.groupBy("workflow_id", "subject_id").agg(
         F.first("task").alias("task"), F.first("n_answers").alias("k"), F.count(F.lit(1)).alias("n"),
         *(F.sum(own[t]).alias(f"z{t}") for t in range(most)),
@@ -190,25 +195,36 @@ def _weights(users: DataFrame, shared, sizes, prior, settings: Settings) -> Data
     return users.select("user_key", "accuracy", "record").mapInPandas(weigh, WEIGHTS)
 
 
+def _unknown(shared, sizes, prior, settings: Settings) -> dict[int, np.ndarray]:
+    """For each workflow, the log chance of each truth's answers by a volunteer of the prior accuracy and no record."""
+    out = {}
+    for w, k in sizes.items():
+        luck, best = 1 / k, float((prior[w] * np.diag(shared[w])).sum())
+        r = np.clip((settings.prior_accuracy - luck) / max(best - luck, 0.05), 0.02, 0.98)
+        out[w] = np.log(np.maximum(r * shared[w] + (1 - r) / k, 1e-4))
+    return out
+
+
 def _subjects(scores: DataFrame, settings: Settings) -> DataFrame:
     """Consensus rows. ``agreement`` corrects the share of agreeing pairs for chance over the workflow's answers.
 
-    Only subjects with two ballots or more have pairs, so missing ratings need no filling in. The chance of
+    Only subjects with two ballots or more have pairs, so missing ratings need no filling in, and the agreement of a
+    single ballot is null. The chance of
     agreement is that of two random ballots of the workflow; agreement 1 is unanimity, 0 what chance gives.
     """
     n = F.col("n").cast("double")
-    pairs = F.aggregate("counts", F.lit(0.0), lambda s, c: s + c * (c - 1)) / (n * (n - 1))
+    pairs = F.aggregate("counts", F.lit(0.0), lambda s, c: s + c * (c - 1)) / F.nullif(n * (n - 1), F.lit(0.0))
     answers = scores.select("workflow_id", F.posexplode("counts").alias("a", "c")).groupBy("workflow_id", "a").agg(F.sum("c").alias("c"))
     chance = answers.groupBy("workflow_id").agg((F.sum(F.col("c") * (F.col("c") - 1.0))).alias("same"), F.sum("c").alias("all")).select(
-        "workflow_id", (F.col("same") / (F.col("all") * (F.col("all") - 1.0))).alias("e")
+        "workflow_id", (F.col("same") / F.nullif(F.col("all") * (F.col("all") - 1.0), F.lit(0.0))).alias("e")
     )
     votes = F.get("counts", F.col("label"))
     return (
-        scores.where(F.col("n") >= max(settings.min_ballots, 2)).join(F.broadcast(chance), "workflow_id")  # a row for each workflow
+        scores.where(F.col("n") >= settings.min_ballots).join(F.broadcast(chance), "workflow_id")  # a row for each workflow
         .select(
             "workflow_id", "subject_id", "task", F.col("label").alias("answer"), F.col("n").alias("ballots"),
             votes.alias("votes"), (votes / n).alias("share"),
-            F.when(F.col("e") < 1, (pairs - F.col("e")) / (1 - F.col("e"))).otherwise(1.0).alias("agreement"),
+            F.when(F.col("n") < 2, None).when(F.col("e") < 1, (pairs - F.col("e")) / (1 - F.col("e"))).otherwise(1.0).alias("agreement"),
         )
     )
 

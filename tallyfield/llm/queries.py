@@ -12,9 +12,9 @@ from tallyfield.sources.tables import table
 from . import clusters, consensus, leakage, mixture, truncation
 
 
-def _consensus(spark: SparkSession, folder: str) -> consensus.Consensus:
+def _consensus(spark: SparkSession, folder: str, **settings) -> consensus.Consensus:
     questions = first_questions(table(spark, folder, "workflows"))
-    return consensus.consensus(ballots(table(spark, folder, "classifications"), questions))
+    return consensus.consensus(ballots(table(spark, folder, "classifications"), questions), consensus.Settings(**settings))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +22,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_consensus(spark: SparkSession, folder: str) -> DataFrame:
-    return _consensus(spark, folder).subjects
+    """Every subject with a ballot; the least of five ballots is that of ``p1_found`` alone."""
+    return _consensus(spark, folder, min_ballots=1).subjects
 
 
 def p1_volunteers(spark: SparkSession, folder: str) -> DataFrame:
