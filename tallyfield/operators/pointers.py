@@ -1,4 +1,4 @@
-"""Roots of a forest given as links from child to parent."""
+"""Roots of a forest given as links from child to parent; connected components of a graph."""
 
 from __future__ import annotations
 
@@ -28,3 +28,30 @@ def roots(links: DataFrame) -> DataFrame:
     if state.isEmpty():
         return state.select("child", F.col("p").alias("root"))
     raise ValueError("the links form a cycle")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component`` for every node of ``edges`` (``u, v``, longs): the least node that it is connected with.
+
+    Large and small stars by turns until no edge changes: every node's larger, then its smaller neighbours are linked
+    to the least one. Only minima and links are shuffled, so neither a large component nor a hot node is one task's.
+    Nodes linked to themselves alone are components of their own; rows with nulls are left out.
+    """
+    edges = edges.select("u", "v").dropna().distinct()
+    edges = durable(edges)
+    alone = edges.where("u = v").select("u")
+    links = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    before = None
+    while True:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = durable(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    own = links.select(F.col("v").alias("u")).union(alone).distinct().join(links.select("u"), "u", "left_anti")
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own.select("u", "u"))

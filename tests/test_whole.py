@@ -7,6 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfield.kernels import cluster as kernels
+from tallyfield.operators import markings
+from tallyfield.operators.pointers import components
 from tallyfield.plans import reference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,3 +38,41 @@ def test_point_queries_see_every_workflow(spark):
     assert got == pairs
     rows = {(r["workflow_id"], r["subject_id"], r["pid"]): r["smooth"] for r in reference.neighbour_smoothing(spark, FOLDER).collect()}
     assert rows == pytest.approx(smooth) and 2102 in {k[0] for k in rows}
+
+
+MARK = "workflow_id int, subject_id long, task string, shape string, id long, item int, volunteer string, tool int, params array<double>"
+
+
+def test_components(spark):
+    rng = np.random.default_rng(6)
+    edges = [(n, n + 1) for n in range(100, 160)] + [(int(a), int(b)) for a, b in rng.integers(200, 300, (60, 2))] + [(-5, -5), (7, 3), (3, 7)]
+    nodes = sorted({n for e in edges for n in e})
+    place = {n: i for i, n in enumerate(nodes)}
+    want = {nodes[i]: nodes[c[0]] for c in kernels.components(len(nodes), [(place[a], place[b]) for a, b in edges]) for i in c}
+    got = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+@pytest.mark.parametrize("kernel", ["friends", "dbscan"])
+def test_linked_clusters_of_a_crowded_subject_equal_one_pass(spark, kernel):
+    """A long chain and scattered marks, cut into chunks or not, give the clusters of one pass over all marks."""
+    rng = np.random.default_rng(7)
+    points = [(15.0 * n, 50.0) for n in range(150)] + [(float(x), float(y)) for x, y in rng.uniform(100, 900, (250, 2))]
+    rows = [(1, 9, "T", "point", n, 0, f"u{n % 90}", 0, list(p)) for n, p in enumerate(points)]
+    out = markings.cluster_marks(spark.createDataFrame(rows, MARK), kernel, chunk=100)
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r["cluster"]].append(r["id"])
+    volunteers = [r[6] for r in rows]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, markings.KERNELS[kernel](np.array(points), volunteers)))
+
+
+def test_clustering_ends_when_nothing_can_be_joined(spark):
+    """Two volunteers with more marks than a chunk: rounds by hash join nothing, the last is one piece."""
+    rows = [(1, 9, "T", "point", n * 2 + k, 0, f"u{k}", 0, [100.0 * n, 0.5 * k]) for n in range(30) for k in range(2)]
+    out = markings.cluster_marks(spark.createDataFrame(rows, MARK), chunk=20)
+    groups = defaultdict(list)
+    for r in out.collect():
+        groups[r["cluster"]].append(r["id"] // 2)
+    assert sorted(map(tuple, groups.values())) == [(n, n) for n in range(30)]
