@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..kernels import align
 from ..kernels import cluster as kernels
 from ..session import durable
+from .pointers import components
 
 LINE = ["workflow_id", "subject_id", "line"]
 
@@ -104,7 +105,7 @@ def connected_lines(marks: DataFrame, within: float = 10.0) -> DataFrame:
     """``workflow_id, subject_id, id, item, component`` of text marks whose segments lie along each other.
 
     Marks are cut into bands of the page by height first, so a page with very many marks is many small tasks; a band
-    overlaps the next by the distance, and components that share a mark are joined by their least mark.
+    overlaps the next by the distance, and components of all bands that share marks are joined, over any number of bands.
     """
     text = marks.where("shape = 'text'").select("workflow_id", "subject_id", "id", "item", "params", F.xxhash64("id", "item").alias("node"))
     height = 200.0
@@ -120,7 +121,7 @@ def connected_lines(marks: DataFrame, within: float = 10.0) -> DataFrame:
         return pd.DataFrame(rows, columns=["node", "component"])
 
     found = banded.groupBy("workflow_id", "subject_id", "band").applyInPandas(join, "node long, component long")
-    least = found.groupBy("node").agg(F.min("component").alias("component"))
+    least = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
     return text.join(least, "node").select("workflow_id", "subject_id", "id", "item", "component")
 
 

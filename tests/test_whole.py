@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.kernels import cluster as kernels
-from tallyfield.operators import markings
+from tallyfield.operators import markings, text
 from tallyfield.operators.pointers import components
 from tallyfield.plans import reference
 
@@ -76,3 +76,11 @@ def test_clustering_ends_when_nothing_can_be_joined(spark):
     for r in out.collect():
         groups[r["cluster"]].append(r["id"] // 2)
     assert sorted(map(tuple, groups.values())) == [(n, n) for n in range(30)]
+
+
+def test_connected_lines_run_through_bands(spark):
+    """Upright strokes, each lying along the next: bands see parts of the chain only, whichever mark is the least."""
+    rows = [(1, 9, n, 0, "text", [50.0, 50.0, 15.0 * n, 15.0 * n + 95]) for n in range(60)] + [(1, 9, 99, 0, "text", [500.0, 900.0, 20.0, 20.0])]
+    df = spark.createDataFrame(rows, "workflow_id int, subject_id long, id long, item int, shape string, params array<double>")
+    got = text.connected_lines(df).collect()
+    assert sorted(r["id"] for r in got) == list(range(60)) and len({r["component"] for r in got}) == 1
