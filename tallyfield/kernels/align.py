@@ -117,13 +117,16 @@ def _decide(votes: dict[str, int], share: float, strict: bool) -> str:
     return DISAGREE
 
 
-def vote(rows: list[str], share: float = 0.65) -> tuple[str, float]:
-    """One character for each column by majority, and the part of columns without disagreement."""
-    out = []
+def vote(rows: list[str], share: float = 0.65, weights: list[int] | None = None) -> tuple[str, float]:
+    """One character for each column by majority, and the part of columns without disagreement.
+
+    A row counts for as many voters as its weight says, or for one.
+    """
+    out, weights = [], weights or [1] * len(rows)
     for column in zip(*rows, strict=True):
         counts: dict[str, int] = {}
-        for ch in column:
-            counts[ch] = counts.get(ch, 0) + 1
+        for ch, n in zip(column, weights, strict=True):
+            counts[ch] = counts.get(ch, 0) + n
         out.append(_decide(counts, share, False))
     return "".join(out), 1 - out.count(DISAGREE) / len(out) if out else 1.0
 

@@ -78,9 +78,7 @@ def _voted(share: float):
     def voted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("text")
         texts, n = pdf["text"].tolist(), pdf["n"].tolist()
-        rows = align.align(texts)
-        weighted = [r for r, k in zip(rows, n, strict=True) for _ in range(min(int(k), 100))]
-        line, agreement = align.vote(weighted, share)
+        line, agreement = align.vote(align.align(texts), share, [int(k) for k in n])
         own = float(pdf["agreement"].mean()) if "agreement" in pdf and len(pdf) else 1.0
         head = pdf.iloc[0]
         plain = line.replace(align.GAP, "").replace(align.DISAGREE, "?")

@@ -84,3 +84,10 @@ def test_connected_lines_run_through_bands(spark):
     df = spark.createDataFrame(rows, "workflow_id int, subject_id long, id long, item int, shape string, params array<double>")
     got = text.connected_lines(df).collect()
     assert sorted(r["id"] for r in got) == list(range(60)) and len({r["component"] for r in got}) == 1
+
+
+def test_every_volunteer_of_a_line_counts(spark):
+    rows = [(1, 1, 0, f"u{n}", "the old barn" if n < 900 else "the odd barn") for n in range(1000)]
+    df = spark.createDataFrame(rows, "workflow_id int, subject_id long, line int, volunteer string, text string")
+    got = text.consensus_lines(df).first()
+    assert (got["text"], got["agreement"], got["texts"], got["volunteers"]) == ("the old barn", 1.0, 2, 1000)
