@@ -53,22 +53,32 @@ def overlapping_rectangles(rects: DataFrame, keys: list[str], cell: float = 256.
 
 
 def running_totals(counts: DataFrame, order: Column, *values: str) -> DataFrame:
-    """``counts`` (few rows: one for each distinct value) with sums over all rows up to each in ``order``."""
-    upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("*", *(F.sum(v).over(upto).cast("long").alias(f"cum_{v}") for v in values))
+    """``counts`` (one row for each distinct value of ``order``) with sums over all rows up to each in that order.
 
-
-def roc(scores: DataFrame, digits: int = 3) -> DataFrame:
-    """``score, cum_t, cum_f``: true and false positives at every distinct score rounded to ``digits``, highest first.
-
-    Scores are chances, so there are at most 10 ** digits + 1 rows to run the totals over, whatever the input.
+    Rows are cut into ranges; each sums its own, on top of the totals of the ranges before it. Only those totals, a
+    row for each range, meet in one task.
     """
-    counts = scores.groupBy(F.round("score", digits).alias("score")).agg(F.sum("truth").cast("long").alias("t"), F.count_if(F.col("truth") == 0).alias("f"))
+    placed = durable(counts.repartitionByRange(order).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("range").agg(*(F.sum(v).alias(f"all_{v}") for v in values))
+    ranges = ranges.select("range", *(F.coalesce(F.sum(f"all_{v}").over(before), F.lit(0)).alias(f"before_{v}") for v in values))
+    upto = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.join(F.broadcast(ranges), "range")  # a row for each range
+    return run.select(*counts.columns, *((F.sum(v).over(upto) + F.col(f"before_{v}")).cast("long").alias(f"cum_{v}") for v in values))
+
+
+def roc(scores: DataFrame, digits: int | None = None) -> DataFrame:
+    """``score, cum_t, cum_f``: true and false positives at every distinct score, highest first; with ``digits`` at every rounded one."""
+    score = F.col("score") if digits is None else F.round("score", digits)
+    counts = scores.groupBy(score.alias("score")).agg(F.sum("truth").cast("long").alias("t"), F.count_if(F.col("truth") == 0).alias("f"))
     return running_totals(counts, F.desc("score"), "t", "f").select("score", "cum_t", "cum_f")
 
 
-def ks_distance(samples: DataFrame, digits: int = 2) -> DataFrame:
-    """``ks``: largest difference of the distribution functions of ``value`` for ``side`` 0 and 1, in [0, 1]."""
+def ks_distance(samples: DataFrame, digits: int = 12) -> DataFrame:
+    """``ks``: largest difference of the distribution functions of ``value`` for ``side`` 0 and 1, in [0, 1].
+
+    Values count as equal at ``digits``, so that means summed in another order are.
+    """
     counts = samples.groupBy(F.round("value", digits).alias("value")).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     totals = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     run = running_totals(counts, F.asc("value"), "a", "b").crossJoin(F.broadcast(totals))  # one row

@@ -301,7 +301,7 @@ def hard_em(spark, folder):
 def roc_curve(spark, folder):
     v = votes(spark, folder)
     shares = classify.vote_distribution(v, "item", "label").join(reliability.plurality(v).withColumnRenamed("label", "true_label"), "item")
-    return evaluate.roc(shares.select(F.col("share").alias("score"), (F.col("label") == F.col("true_label")).cast("int").alias("truth")))
+    return evaluate.roc(shares.select(F.col("share").alias("score"), (F.col("label") == F.col("true_label")).cast("int").alias("truth")), digits=3)  # as in the SQL
 
 
 @query(f"""WITH {CONSISTENCY_SQL}, g AS (SELECT round(avg(score), 2) AS value, CASE WHEN count(*) >= 20 THEN 1 ELSE 0 END AS side FROM c1 GROUP BY "user"),
@@ -310,7 +310,7 @@ def roc_curve(spark, folder):
     SELECT round(max(abs(d)), 6) AS ks FROM c""")
 def ks_distance(spark, folder):
     scored = reliability.consistency(votes(spark, folder).withColumn("w", F.lit(1.0))).groupBy("user").agg(F.avg("score").alias("value"), (F.count(F.lit(1)) >= 20).cast("int").alias("side"))
-    return evaluate.ks_distance(scored).withColumn("ks", r6(F.col("ks")))
+    return evaluate.ks_distance(scored, digits=2).withColumn("ks", r6(F.col("ks")))  # digits as in the SQL
 
 
 @query(f"""WITH {PLURALITY_SQL} SELECT CAST(label AS INT) AS label, round(avg(-ln(least(greatest(CASE WHEN label = true_label THEN p ELSE 1 - p END, 1e-15), 1 - 1e-15))), 6) AS log_loss

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.kernels import cluster as kernels
-from tallyfield.operators import markings, text
+from tallyfield.operators import evaluate, markings, text
 from tallyfield.operators.pointers import components
 from tallyfield.plans import reference
 
@@ -91,3 +91,15 @@ def test_every_volunteer_of_a_line_counts(spark):
     df = spark.createDataFrame(rows, "workflow_id int, subject_id long, line int, volunteer string, text string")
     got = text.consensus_lines(df).first()
     assert (got["text"], got["agreement"], got["texts"], got["volunteers"]) == ("the old barn", 1.0, 2, 1000)
+
+
+def test_curves_keep_every_score(spark):
+    rng = np.random.default_rng(8)
+    score, truth = rng.integers(0, 5000, 4000) / 5000, rng.integers(0, 2, 4000)
+    df = spark.createDataFrame([(float(s), int(t)) for s, t in zip(score, truth, strict=True)], "score double, truth int")
+    want = {float(s): (int(truth[score >= s].sum()), int((1 - truth)[score >= s].sum())) for s in set(score)}
+    got = evaluate.roc(df).collect()
+    assert len(got) == len(want) and {r["score"]: (r["cum_t"], r["cum_f"]) for r in got} == want
+    samples = df.select(F.col("score").alias("value"), F.col("truth").alias("side"))
+    ks = max(abs((score[truth == 0] <= s).mean() - (score[truth == 1] <= s).mean()) for s in set(score))
+    assert evaluate.ks_distance(samples).first()["ks"] == pytest.approx(ks, abs=1e-9)
