@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +93,7 @@ def hard_em(votes: DataFrame, labels: int, gold: DataFrame | None = None, rounds
 
     An item gets the label with the largest product of chances (each at least 0.001; ties: the lowest), then every
     volunteer's matrix is counted again and its rows made to add up to 1. Items of ``gold`` keep their label. Ends
-    when no label changes, or after ``rounds``. Matrices begin with ``correct`` on the diagonal.
+    when no label changes, or with a warning after ``rounds``. Matrices begin with ``correct`` on the diagonal.
     """
     votes = durable(votes.select("item", "user", "label"))
     off = (1 - correct) / max(labels - 1, 1)
@@ -116,6 +118,7 @@ def hard_em(votes: DataFrame, labels: int, gold: DataFrame | None = None, rounds
         given = cells.groupBy("user", "true_label").agg(F.sum("n").alias("all"))
         shares = cells.join(given, ["user", "true_label"]).select("user", "label", "true_label", (F.col("n") / F.col("all")).alias("p"))
         chance = shares.groupBy("user", "label").agg(F.array(*(F.max(F.when(F.col("true_label") == c, F.col("p"))) for c in range(labels))).alias("p"))
+    warnings.warn(f"hard_em: labels may still change after {rounds} rounds", RuntimeWarning, stacklevel=2)
     return last
 
 

@@ -292,7 +292,7 @@ def ibcc_confusion(spark, folder):
 
 @query()
 def hard_em(spark, folder):
-    return reliability.hard_em(votes(spark, folder), 6, rounds=10)
+    return reliability.hard_em(votes(spark, folder), 6)
 
 
 @query(f"""WITH {PLURALITY_SQL}, s AS (SELECT round(n / CAST(total AS DOUBLE), 3) AS score, CASE WHEN label = true_label THEN 1 ELSE 0 END AS truth FROM n JOIN a USING (item) JOIN plurality USING (item)),

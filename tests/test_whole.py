@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.kernels import cluster as kernels
-from tallyfield.operators import evaluate, markings, text
+from tallyfield.operators import evaluate, markings, reliability, text
 from tallyfield.operators.pointers import components
 from tallyfield.plans import reference
 
@@ -103,3 +103,14 @@ def test_curves_keep_every_score(spark):
     samples = df.select(F.col("score").alias("value"), F.col("truth").alias("side"))
     ks = max(abs((score[truth == 0] <= s).mean() - (score[truth == 1] <= s).mean()) for s in set(score))
     assert evaluate.ks_distance(samples).first()["ks"] == pytest.approx(ks, abs=1e-9)
+
+
+def test_hard_em_goes_on_until_no_label_changes(spark, monkeypatch):
+    votes = spark.createDataFrame([(i, u, (i % 3) if u < 4 else 0) for i in range(12) for u in range(5)], "item int, user int, label int")
+    with pytest.warns(RuntimeWarning, match="after 1 rounds"):
+        reliability.hard_em(votes, 3, rounds=1)
+    asked = {}
+    monkeypatch.setattr(reference, "votes", lambda *_: votes)
+    monkeypatch.setattr(reliability, "hard_em", lambda v, labels, **more: asked.update(more))
+    reference.hard_em(spark, FOLDER)
+    assert asked.get("rounds", 50) >= 50
