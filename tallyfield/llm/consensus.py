@@ -2,7 +2,7 @@
 
 Method: iteratively reweighted voting. Each round (1) sums the weighted votes of every subject, (2) compares each
 ballot with the consensus of the *other* ballots on its subject, (3) turns each volunteer's smoothed leave-one-out
-accuracy and answers into new weights, until hardly any consensus changes.
+accuracy and answers into new weights, until no consensus changes or the rounds come back to where they were.
 
 The weight of a ballot is not one number but one for each possible truth: the log of the chance that this
 volunteer gives this answer there. It starts from what volunteers share (some answers are easily taken for
@@ -14,6 +14,7 @@ usual mistake.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +31,8 @@ WEIGHTS = "user_key string, workflow_id int, answer int, own array<float>"
 @dataclass(frozen=True)
 class Settings:
     min_ballots: int = 5  # subjects with fewer take part but give no consensus row; with 1 every subject gives one
-    max_rounds: int = 8
-    stable: float = 0.004  # share of consensus answers that may still change in the last round
+    max_rounds: int = 100  # far more than it takes; a warning is given if consensus answers still change then
+    stable: float = 0.0  # share of consensus answers that may still change in the last round
     prior_accuracy: float = 0.7  # smoothing of a volunteer's accuracy, worth prior_ballots
     prior_ballots: float = 2.0
     own_record: float = 12.0  # ballots after which a volunteer's own record counts as much as the mixture
@@ -43,6 +44,7 @@ class Consensus:
     subjects: DataFrame  # workflow_id, subject_id, task, answer, ballots, votes, share, agreement
     volunteers: DataFrame  # user_key, ballots, accuracy
     rounds: int
+    changed: float  # share of consensus answers that the last round changed; above 0 in a cycle
 
 
 def consensus(ballots: DataFrame, settings: Settings = Settings()) -> Consensus:
@@ -57,18 +59,25 @@ def consensus(ballots: DataFrame, settings: Settings = Settings()) -> Consensus:
     sizes = {r["workflow_id"]: r["k"] for r in votes.groupBy("workflow_id").agg(F.max("n_answers").alias("k")).collect()}
     most = max(sizes.values(), default=1)
     weights = users = before = unknown = None
-    scores, rounds = durable(_scores(votes, None, most, None, None)), 0
+    scores, rounds, states = durable(_scores(votes, None, most, None, None)), 0, set()
     while True:
         prior, changed = _labels(scores, before, sizes)
-        if rounds >= settings.max_rounds or changed <= settings.stable:
+        if rounds and changed <= settings.stable or not sizes:
+            break
+        if rounds >= settings.max_rounds:
+            warnings.warn(f"consensus: {changed:.2%} of the answers still change after {rounds} rounds", RuntimeWarning, stacklevel=2)
             break
         users = durable(_records(votes, weights, scores, settings))
-        shared = _shared(users, sizes, settings)
+        shared, state = _shared(users, sizes, settings)
+        state = (state, *((w, p.tobytes()) for w, p in sorted(prior.items())))
+        if state in states:  # records and prior decide all that follows
+            break
+        states.add(state)
         weights, unknown = _weights(users, shared, sizes, prior, settings), _unknown(shared, sizes, prior, settings)
         before = scores.select(*keys, F.col("label").alias("last"))
         scores = durable(_scores(votes, weights, most, prior, unknown))
         rounds += 1
-    return Consensus(_subjects(scores, settings), _volunteers(users, votes, settings), rounds)
+    return Consensus(_subjects(scores, settings), _volunteers(users, votes, settings), rounds, changed)
 
 
 def _scores(votes: DataFrame, weights: DataFrame | None, most: int, prior: dict[int, np.ndarray] | None, unknown: dict[int, np.ndarray] | None) -> DataFrame:
@@ -137,16 +146,18 @@ def _records(votes: DataFrame, weights: DataFrame | None, scores: DataFrame, set
     )
 
 
-def _shared(users: DataFrame, sizes: dict[int, int], settings: Settings) -> dict[int, np.ndarray]:
-    """For each workflow, how often each answer is given to each truth; accurate volunteers count more."""
+def _shared(users: DataFrame, sizes: dict[int, int], settings: Settings) -> tuple[dict[int, np.ndarray], frozenset]:
+    """For each workflow, how often each answer is given to each truth; accurate volunteers count more. And a fingerprint of all records."""
     shared = {}
     for w, k in sizes.items():
         rest = (1 - settings.prior_accuracy) / max(k - 1, 1)
         shared[w] = settings.shared_record * (np.full((k, k), rest) + np.eye(k) * (settings.prior_accuracy - rest))
-    cells = users.select((F.col("accuracy") ** 2).alias("a"), F.inline("record")).groupBy("workflow_id", "truth", "answer")
-    for r in cells.agg(F.sum(F.col("a") * F.col("n")).alias("n")).collect():  # workflows times answers squared
-        shared[r["workflow_id"]][r["truth"], r["answer"]] += r["n"]
-    return {w: c / c.sum(1, keepdims=True) for w, c in shared.items()}
+    cells = users.select("user_key", (F.col("accuracy") ** 2).alias("a"), F.inline("record")).groupBy("workflow_id", "truth", "answer")
+    prints = []
+    for r in cells.agg(F.sum(F.col("a") * F.col("n")).alias("s"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("user_key", "n")).alias("h")).collect():  # workflows times answers squared
+        shared[r["workflow_id"]][r["truth"], r["answer"]] += r["s"]
+        prints.append(tuple(r[c] for c in ("workflow_id", "truth", "answer", "n", "h")))
+    return {w: c / c.sum(1, keepdims=True) for w, c in shared.items()}, frozenset(prints)
 
 
 def _reliability(pdf: pd.DataFrame, shared, sizes, prior):

@@ -1,5 +1,6 @@
 """The operators on training data leave nothing out."""
 
+import numpy as np
 import pytest
 
 from tallyfield.llm import consensus
@@ -7,6 +8,15 @@ from tallyfield.llm import consensus
 BALLOT = "workflow_id int, subject_id long, task string, n_answers int, user_key string, answer int"
 
 
+def crowd(seed, subjects, spam, honest):
+    rng = np.random.default_rng(seed)
+    truth, rows = rng.integers(0, 3, subjects), []
+    for s in range(subjects):
+        rows += [(1, s, "T0", 3, f"h{u}", int(truth[s]) if rng.random() < 0.6 else int(rng.integers(3))) for u in rng.choice(honest, 5, replace=False)]
+        rows += [(1, s, "T0", 3, f"s{u}", 2) for u in rng.choice(spam, 3, replace=False)]
+    return rows, truth
+
+
 def test_every_subject_with_a_ballot_gets_an_answer(spark):
     rows = [(1, 1, "T", 2, f"u{n}", 1) for n in range(4)] + [(1, 2, "T", 2, f"u{n}", n % 2) for n in range(6)]
     rows += [(1, 3, "T", 2, "lone", 0), (1, 4, "T", 2, "u1", 1), (2, 5, "S", 3, "u1", 2), (1, 6, "T", 2, "u2", 1), (1, 6, "T", 2, "u3", 1)]
@@ -16,3 +26,12 @@ def test_every_subject_with_a_ballot_gets_an_answer(spark):
     assert got[1, 1]["answer"] == 1 and got[1, 6]["answer"] == 1 and got[1, 6]["agreement"] is not None
     assert all(got[k]["agreement"] is None and got[k]["share"] == pytest.approx(1) for k in [(1, 3), (1, 4), (2, 5)])
     assert [r["subject_id"] for r in consensus.consensus(ballots).subjects.collect()] == [2]
+
+
+def test_rounds_go_on_until_no_answer_changes(spark):
+    rows, _ = crowd(seed=2, subjects=400, spam=8, honest=40)
+    ballots = spark.createDataFrame(rows, BALLOT)
+    out = consensus.consensus(ballots)
+    assert out.changed == 0 and out.rounds < consensus.Settings().max_rounds
+    with pytest.warns(RuntimeWarning, match="still change after 1 rounds"):
+        assert consensus.consensus(ballots, consensus.Settings(max_rounds=1)).changed > 0
