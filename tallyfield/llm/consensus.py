@@ -9,23 +9,31 @@ volunteer gives this answer there. It starts from what volunteers share (some an
 others), mixed with the volunteer's own habit of answering as far as their accuracy is short of what careful
 volunteers reach, and is corrected by their own record. A volunteer who always gives one answer, answers at
 random or follows a ring therefore loses all weight, and a rare answer can win over a frequent one that is its
-usual mistake.
+usual mistake. ``Settings(by_truth=False)`` gives each ballot the log odds of its volunteer's accuracy instead.
+
+Ballots are laid out twice, by volunteer (to meet their weights) and by subject (to be summed and compared), and
+each round moves them once in either direction; all else that moves is a row for each subject or volunteer. A
+subject or volunteer with more than a fair share of all ballots is cut into shards, and its row is copied to them.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.session import durable
+from tallyfield.session import broadcast_if_small, durable, parallelism, release
 
-WEIGHTS = "user_key string, workflow_id int, answer int, own array<float>"
+SUBJECT = ["workflow_id", "subject_id"]
+RECORD = "user_key string, accuracy double, record array<struct<workflow_id:int,truth:int,answer:int,n:long>>"
+WEIGHTS = "user_key string, workflow_id int, own array<double>"
+GRID = 2.0**20  # weights are multiples of 1/GRID, so sums don't depend on their order and equal votes tie
 
 
 @dataclass(frozen=True)
@@ -33,10 +41,12 @@ class Settings:
     min_ballots: int = 5  # subjects with fewer take part but give no consensus row; with 1 every subject gives one
     max_rounds: int = 100  # far more than it takes; a warning is given if consensus answers still change then
     stable: float = 0.0  # share of consensus answers that may still change in the last round
+    by_truth: bool = True  # weights for each possible truth; else one for each volunteer, from the accuracy alone
     prior_accuracy: float = 0.7  # smoothing of a volunteer's accuracy, worth prior_ballots
     prior_ballots: float = 2.0
     own_record: float = 12.0  # ballots after which a volunteer's own record counts as much as the mixture
     shared_record: float = 10.0
+    broadcast_workflows: int = 10_000  # workflows up to which their parameters are broadcast
 
 
 @dataclass(frozen=True)
@@ -47,73 +57,144 @@ class Consensus:
     changed: float  # share of consensus answers that the last round changed; above 0 in a cycle
 
 
+@dataclass(frozen=True)
+class _Model:
+    """What all volunteers share, for each workflow: number of answers, how often each is the truth, and how often each is given to each truth."""
+
+    sizes: dict[int, int]
+    prior: dict[int, np.ndarray]
+    shared: dict[int, np.ndarray]
+    settings: Settings
+
+    def care(self, w: int) -> float:
+        """Share of right answers that careful volunteers reach."""
+        return float((self.prior[w] * np.diag(self.shared[w])).sum())
+
+    def table(self, most: int) -> list[tuple]:
+        """(workflow, log prior, weights of volunteers without a record), padded to ``most`` answers; impossible truths get -1e18."""
+        out, s = [], self.settings
+        for w, k in self.sizes.items():
+            base, plain = np.full(most, -1e18), np.zeros((most, most))
+            if s.by_truth:
+                base[:k] = np.log(self.prior[w])
+                luck, best = 1 / k, self.care(w)
+                r = np.clip((s.prior_accuracy - luck) / max(best - luck, 0.05), 0.02, 0.98)
+                plain[:k, :k] = np.log(np.maximum(r * self.shared[w] + (1 - r) / k, 1e-4))
+            else:
+                base[:k] = 0
+                plain[:k, :k] = np.eye(k) * _odds(np.array(s.prior_accuracy), k)
+            out.append((w, _even(base).tolist(), _even(plain).ravel().tolist()))
+        return out
+
+
+def _even(x: np.ndarray) -> np.ndarray:
+    return np.round(x * GRID) / GRID
+
+
+def _odds(accuracy: np.ndarray, k: int) -> np.ndarray:
+    a = np.clip(accuracy, 0.02, 0.98)
+    return np.log(a * max(k - 1, 1) / (1 - a))
+
+
 def consensus(ballots: DataFrame, settings: Settings = Settings()) -> Consensus:
     """Consensus answers, agreement and reliability from ``operators.ballots.ballots``.
 
     Ties between answers go to the lowest index. Ballots with nulls are left out; a ballot must be one row for
-    each volunteer, subject and workflow; a subject's only ballot says nothing about its volunteer, who keeps the
-    prior accuracy if there are no others, and its agreement is null; an empty table gives empty results.
+    each volunteer, subject and workflow, and a workflow asks one task; a subject's only ballot says nothing about
+    its volunteer, who keeps the prior accuracy if there are no others, and its agreement is null; an empty table
+    gives empty results.
     """
-    keys = ["workflow_id", "subject_id"]
-    votes = durable(ballots.select(*keys, "task", "n_answers", "user_key", "answer").dropna())
-    sizes = {r["workflow_id"]: r["k"] for r in votes.groupBy("workflow_id").agg(F.max("n_answers").alias("k")).collect()}
-    most = max(sizes.values(), default=1)
-    weights = users = before = unknown = None
-    scores, rounds, states = durable(_scores(votes, None, most, None, None)), 0, set()
+    s, spark = settings, ballots.sparkSession
+    votes = durable(ballots.select(*SUBJECT, "task", "n_answers", "user_key", "answer").dropna())
+    asked = votes.groupBy("workflow_id").agg(F.max("n_answers").alias("k"), F.max("task").alias("task"), F.count(F.lit(1)).alias("n")).collect()
+    sizes, tasks = {r["workflow_id"]: r["k"] for r in asked}, [(r["workflow_id"], r["task"]) for r in asked]
+    total, most, parts = sum(r["n"] for r in asked), max(sizes.values(), default=1), parallelism(spark)
+    fair = max(total / (4 * parts), 1)
+    big_subjects, big_users = _shards(votes, SUBJECT, fair), _shards(votes, ["user_key"], fair)
+    laid = (
+        votes.join(F.broadcast(big_subjects), SUBJECT, "left").join(F.broadcast(big_users.withColumnRenamed("shards", "user_shards")), "user_key", "left")
+        .select(*SUBJECT, "user_key", "answer", F.pmod(F.xxhash64("user_key"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"),
+                F.pmod(F.xxhash64("subject_id"), F.coalesce("user_shards", F.lit(1))).cast("int").alias("user_shard"))
+        .repartition(parts, "user_key", "user_shard", "workflow_id").persist()
+    )
+
+    even = {w: np.full(k, 1 / k) for w, k in sizes.items()}
+    model = _Model(sizes, even, {}, s)
+    records = before = scores = None
+    rounds, changed, states = 0, 0.0, set()
     while True:
+        cast = _weighted(laid, records, big_users, model, most).repartition(parts, *SUBJECT, "shard").persist()
+        scores = durable(_scores(cast, records is not None, model, most))
         prior, changed = _labels(scores, before, sizes)
-        if rounds and changed <= settings.stable or not sizes:
+        if rounds and changed <= s.stable or not sizes:
             break
-        if rounds >= settings.max_rounds:
+        if rounds >= s.max_rounds:
             warnings.warn(f"consensus: {changed:.2%} of the answers still change after {rounds} rounds", RuntimeWarning, stacklevel=2)
             break
-        users = durable(_records(votes, weights, scores, settings))
-        shared, state = _shared(users, sizes, settings)
+        found = durable(_records(cast, scores, big_subjects, s, most))
+        shared, state = _shared(found, sizes, s)
         state = (state, *((w, p.tobytes()) for w, p in sorted(prior.items())))
         if state in states:  # records and prior decide all that follows
             break
         states.add(state)
-        weights, unknown = _weights(users, shared, sizes, prior, settings), _unknown(shared, sizes, prior, settings)
-        before = scores.select(*keys, F.col("label").alias("last"))
-        scores = durable(_scores(votes, weights, most, prior, unknown))
+        records, model, before = found, _Model(sizes, prior, shared, s), scores.select(*SUBJECT, F.col("label").alias("last"))
+        cast.unpersist()
         rounds += 1
-    return Consensus(_subjects(scores, settings), _volunteers(users, votes, settings), rounds, changed)
+        if rounds % 4 == 0:
+            release(spark)
+    cast.unpersist()
+    laid.unpersist()
+    return Consensus(_subjects(scores, votes, tasks, most, s), _volunteers(records, votes, s), rounds, changed)
+
+
+def _shards(votes: DataFrame, keys: list[str], fair: float) -> DataFrame:
+    """``keys, shards`` of those with more than ``fair`` ballots: at most all ballots over ``fair`` rows, four for each task."""
+    heavy = votes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fair).collect()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in votes.select(*keys).schema.fields)
+    return votes.sparkSession.createDataFrame([(*(r[k] for k in keys), math.ceil(r["n"] / fair)) for r in heavy], f"{schema}, shards int")
 
 
-def _scores(votes: DataFrame, weights: DataFrame | None, most: int, prior: dict[int, np.ndarray] | None, unknown: dict[int, np.ndarray] | None) -> DataFrame:
-    """``workflow_id, subject_id, task, n, counts, z, label``: summed weights for each possible truth.
+def _copies(rows: DataFrame, shards: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` once for each shard of their key."""
+    return rows.join(F.broadcast(shards), keys, "left").withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1))).drop("shards")
 
-    Volunteers without a record in a workflow, whose ballots there all stand alone, weigh as ``unknown``.
+
+def _parameters(rows: DataFrame, model: _Model, most: int) -> DataFrame:
+    """``workflow_id, base, plain``: one row for each workflow."""
+    table = model.table(most) if model.shared else [(w, _even(np.where(np.arange(most) < k, 0, -1e18)).tolist(), []) for w, k in model.sizes.items()]
+    params = rows.sparkSession.createDataFrame(table, "workflow_id int, base array<double>, plain array<double>")
+    return broadcast_if_small(params, len(table), model.settings.broadcast_workflows)
+
+
+def _weighted(laid: DataFrame, records: DataFrame | None, big_users: DataFrame, model: _Model, most: int) -> DataFrame:
+    """Ballots with ``o0, o1, ...``: what each adds to the score of every possible truth.
+
+    Volunteers without a record in a workflow, whose ballots there all stand alone, weigh as ``plain``.
     """
-    if weights is None:
-        own = [F.when(F.col("answer") == t, 1.0).otherwise(0.0) for t in range(most)]
-        rows = votes
-    else:
-        plain = F.create_map(*(x for w, u in unknown.items() for x in (F.lit(w), F.array(*(F.array(*(F.lit(float(v)) for v in u[:, a])) for a in range(u.shape[1]))))))
-        own = [F.coalesce(F.get("own", F.lit(t)).cast("double"), F.get(F.get(plain[F.col("workflow_id")], F.col("answer")), F.lit(t))) for t in range(most)]
-        rows = votes.join(weights.hint("shuffle_hash"), ["user_key", "workflow_id", "answer"], "left")
-    summed = rows.groupBy("workflow_id", "subject_id").agg(
-        F.first("task").alias("task"), F.first("n_answers").alias("k"), F.count(F.lit(1)).alias("n"),
-        *(F.sum(own[t]).alias(f"z{t}") for t in range(most)),
-        *(F.count_if(F.col("answer") == t).alias(f"c{t}") for t in range(most)),
-    )
-    z = F.slice(F.array(*(F.col(f"z{t}") for t in range(most))), F.lit(1), F.col("k"))
-    if prior:
-        table = F.create_map(*(x for w, p in prior.items() for x in (F.lit(w), F.array(*(F.lit(float(v)) for v in np.log(p))))))
-        z = F.zip_with(z, table[F.col("workflow_id")], lambda a, b: a + b)
-    counts = F.slice(F.array(*(F.col(f"c{t}") for t in range(most))), F.lit(1), F.col("k"))
-    return summed.select("workflow_id", "subject_id", "task", "n", counts.alias("counts"), z.alias("z")).withColumn(
-        "label", (F.array_position("z", F.array_max("z")) - 1).cast("int")
-    )
+    kept = [*SUBJECT, "shard", "user_key", "user_shard", "answer"]
+    if records is None:
+        return laid.select(*kept, *((F.col("answer") == t).cast("double").alias(f"o{t}") for t in range(most)))
+    weights = records.select("user_key", "accuracy", "record").mapInArrow(_weigh(model, most), WEIGHTS)
+    own = _copies(weights, big_users, ["user_key"], "user_shard").hint("shuffle_hash")
+    rows = laid.join(own, ["user_key", "user_shard", "workflow_id"], "left").join(_parameters(laid, model, most), "workflow_id")
+    at = lambda t: F.lit(t * most) + F.col("answer")
+    return rows.select(*kept, *(F.coalesce(F.get("own", at(t)), F.get("plain", at(t))).alias(f"o{t}") for t in range(most)))
+
+
+def _scores(cast: DataFrame, weighted: bool, model: _Model, most: int) -> DataFrame:
+    """``workflow_id, subject_id, n, z, label``: summed weights for each possible truth, and the best."""
+    sums = cast.groupBy(*SUBJECT, "shard").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"o{t}").alias(f"z{t}") for t in range(most)))
+    whole = sums.groupBy(*SUBJECT).agg(F.sum("n").alias("n"), *(F.sum(f"z{t}").alias(f"z{t}") for t in range(most)))
+    z = F.array(*(F.col(f"z{t}") + F.get("base", F.lit(t)) for t in range(most)))
+    out = whole.join(_parameters(cast, model, most), "workflow_id").select(*SUBJECT, "n", z.alias("z"))
+    return out.withColumn("label", (F.array_position("z", F.array_max("z")) - 1).cast("int"))
 
 
 def _labels(scores: DataFrame, before: DataFrame | None, sizes: dict[int, int]) -> tuple[dict[int, np.ndarray], float]:
     """How often each answer is the consensus in each workflow, and the share of consensus answers that changed."""
-    rows = scores.select("workflow_id", "subject_id", "label", F.lit(1).alias("changed"))
+    rows = scores.select(*SUBJECT, "label", F.lit(1).alias("changed"))
     if before is not None:
-        rows = scores.join(before, ["workflow_id", "subject_id"]).select(
-            "workflow_id", "label", (F.col("label") != F.col("last")).cast("int").alias("changed")
-        )
+        rows = scores.join(before, SUBJECT).select("workflow_id", "label", (F.col("label") != F.col("last")).cast("int").alias("changed"))
     prior = {w: np.ones(k) for w, k in sizes.items()}
     total = changed = 0
     for r in rows.groupBy("workflow_id", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("changed").alias("c")).collect():
@@ -122,128 +203,113 @@ def _labels(scores: DataFrame, before: DataFrame | None, sizes: dict[int, int])
     return {w: p / p.sum() for w, p in prior.items()}, changed / total if total else 0.0
 
 
-def _records(votes: DataFrame, weights: DataFrame | None, scores: DataFrame, settings: Settings) -> DataFrame:
-    """``user_key, ballots, accuracy, record``; record: (workflow, truth as the others see it, answer, ballots)."""
-    rows = votes.select("workflow_id", "subject_id", "user_key", "answer")
-    if weights is None:
-        rows = rows.withColumn("own", F.lit(None).cast("array<float>"))
-    else:
-        rows = rows.join(weights.hint("shuffle_hash"), ["user_key", "workflow_id", "answer"])
-    rows = rows.join(scores.where("n >= 2").select("workflow_id", "subject_id", "z").hint("shuffle_hash"), ["workflow_id", "subject_id"])
-    if weights is None:
-        others = F.transform("z", lambda x, t: x - F.when(t == F.col("answer"), 1.0).otherwise(0.0))
-    else:
-        others = F.zip_with("z", "own", lambda a, b: a - b)
-    seen = rows.select("user_key", "workflow_id", "answer", others.alias("o")).select(
-        "user_key", "workflow_id", "answer", (F.array_position("o", F.array_max("o")) - 1).cast("int").alias("truth")
+def _records(cast: DataFrame, scores: DataFrame, big_subjects: DataFrame, settings: Settings, most: int) -> DataFrame:
+    """``RECORD``; record: (workflow, truth as the others see it, answer, ballots)."""
+    sums = _copies(scores.where("n >= 2").select(*SUBJECT, "z"), big_subjects, SUBJECT, "shard").hint("shuffle_hash")
+    others = F.array(*(F.get("z", F.lit(t)) - F.col(f"o{t}") for t in range(most)))
+    seen = cast.join(sums, [*SUBJECT, "shard"]).select("user_key", "user_shard", "workflow_id", "answer", others.alias("o")).select(
+        "user_key", "user_shard", "workflow_id", "answer", (F.array_position("o", F.array_max("o")) - 1).cast("int").alias("truth")
     )
+    # combined before it is shuffled, so that a volunteer with very many ballots is few rows from here on
     cells = seen.groupBy("user_key", "workflow_id", "truth", "answer").agg(F.count(F.lit(1)).alias("n"))
     hits = F.sum(F.when(F.col("truth") == F.col("answer"), F.col("n")).otherwise(0))
     p, m = settings.prior_accuracy, settings.prior_ballots
     return cells.groupBy("user_key").agg(
-        F.sum("n").alias("ballots"), ((hits + p * m) / (F.sum("n") + m)).alias("accuracy"),
-        F.collect_list(F.struct("workflow_id", "truth", "answer", "n")).alias("record"),
-    )
+        ((hits + p * m) / (F.sum("n") + m)).alias("accuracy"), F.collect_list(F.struct("workflow_id", "truth", "answer", "n")).alias("record")
+    )
 
 
-def _shared(users: DataFrame, sizes: dict[int, int], settings: Settings) -> tuple[dict[int, np.ndarray], frozenset]:
+def _shared(records: DataFrame, sizes: dict[int, int], settings: Settings) -> tuple[dict[int, np.ndarray], frozenset]:
     """For each workflow, how often each answer is given to each truth; accurate volunteers count more. And a fingerprint of all records."""
     shared = {}
     for w, k in sizes.items():
         rest = (1 - settings.prior_accuracy) / max(k - 1, 1)
         shared[w] = settings.shared_record * (np.full((k, k), rest) + np.eye(k) * (settings.prior_accuracy - rest))
-    cells = users.select("user_key", (F.col("accuracy") ** 2).alias("a"), F.inline("record")).groupBy("workflow_id", "truth", "answer")
+    cells = records.select("user_key", (F.col("accuracy") ** 2).alias("a"), F.inline("record")).groupBy("workflow_id", "truth", "answer")
     prints = []
-    for r in cells.agg(F.sum(F.col("a") * F.col("n")).alias("s"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("user_key", "n")).alias("h")).collect():  # workflows times answers squared
-        shared[r["workflow_id"]][r["truth"], r["answer"]] += r["s"]
+    for r in cells.agg(F.sum(F.round(F.col("a") * F.col("n") * GRID)).alias("s"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("user_key", "n")).alias("h")).collect():  # workflows times answers squared
+        shared[r["workflow_id"]][r["truth"], r["answer"]] += r["s"] / GRID
         prints.append(tuple(r[c] for c in ("workflow_id", "truth", "answer", "n", "h")))
     return {w: c / c.sum(1, keepdims=True) for w, c in shared.items()}, frozenset(prints)
 
 
-def _reliability(pdf: pd.DataFrame, shared, sizes, prior):
-    """For each volunteer of a batch: records by workflow, answering habits, and the share of careful answers."""
-    position = {w: i for i, w in enumerate(sizes)}
-    most = max(sizes.values())
-    n = np.zeros((len(pdf), len(sizes), most, most))
-    for i, record in enumerate(pdf["record"]):
-        for r in record:
-            n[i, position[r["workflow_id"]], r["truth"], r["answer"]] += r["n"]
-    flat, even, care, chance = np.zeros((len(sizes), most, most)), np.zeros((len(sizes), most)), np.zeros(len(sizes)), np.zeros((len(sizes), most))
-    for w, i in position.items():
-        k = sizes[w]
-        flat[i, :k, :k], even[i, :k], chance[i, :k] = shared[w], 1 / k, prior[w]
-        care[i] = (prior[w] * np.diag(shared[w])).sum()
-    given, total = n.sum(2), n.sum((2, 3))
-    habit = (given + 2 * even) / (total[:, :, None] + 2)
-    all_ = np.maximum(total.sum(1), 1)
-    best = (total * care).sum(1) / all_
-    luck = (total * (habit * chance).sum(2)).sum(1) / all_
-    reliability = np.clip((pdf["accuracy"].to_numpy() - luck) / np.maximum(best - luck, 0.05), 0.02, 0.98)
-    return n, habit, reliability, flat, position
-
-
-def _weights(users: DataFrame, shared, sizes, prior, settings: Settings) -> DataFrame:
-    """``WEIGHTS``: log chance of each answer a volunteer has given, for each truth it might have been given to."""
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n, habit, reliability, flat, position = _reliability(pdf, shared, sizes, prior)
-            r = reliability[:, None, None, None]
-            mixed = r * flat[None] + (1 - r) * habit[:, :, None, :]
-            p = (n + settings.own_record * mixed) / (n.sum(3, keepdims=True) + settings.own_record)
-            logs = np.log(np.maximum(p, 1e-4)).astype("float32")
-            out = {"user_key": [], "workflow_id": [], "answer": [], "own": []}
-            for w, j in position.items():
-                k = sizes[w]
-                # also the answers of ballots that stand alone on their subject, which have no record
-                who, answer = np.nonzero(np.ones((len(pdf), k), bool) & (n[:, j].sum((1, 2)) > 0)[:, None])
-                out["user_key"] += pdf["user_key"].to_numpy()[who].tolist()
-                out["workflow_id"] += [w] * len(who)
-                out["answer"] += answer.tolist()
-                out["own"] += list(logs[who, j, :k, answer])
-            yield pd.DataFrame(out)
-
-    return users.select("user_key", "accuracy", "record").mapInPandas(weigh, WEIGHTS)
-
-
-def _unknown(shared, sizes, prior, settings: Settings) -> dict[int, np.ndarray]:
-    """For each workflow, the log chance of each truth's answers by a volunteer of the prior accuracy and no record."""
-    out = {}
-    for w, k in sizes.items():
-        luck, best = 1 / k, float((prior[w] * np.diag(shared[w])).sum())
-        r = np.clip((settings.prior_accuracy - luck) / max(best - luck, 0.05), 0.02, 0.98)
-        out[w] = np.log(np.maximum(r * shared[w] + (1 - r) / k, 1e-4))
-    return out
-
-
-def _subjects(scores: DataFrame, settings: Settings) -> DataFrame:
-    """Consensus rows. ``agreement`` corrects the share of agreeing pairs for chance over the workflow's answers.
-
-    Only subjects with two ballots or more have pairs, so missing ratings need no filling in, and the agreement of a
-    single ballot is null. The chance of
-    agreement is that of two random ballots of the workflow; agreement 1 is unanimity, 0 what chance gives.
+def _weigh(model: _Model, most: int):
+    """Batches of ``RECORD`` to ``WEIGHTS``: for each volunteer and workflow with a record, the weight of every answer for every truth."""
+    s, names = model.settings, sorted(model.sizes)
+    size = np.array([model.sizes[w] for w in names])
+    flat, chance, even = np.zeros((len(names), most, most)), np.zeros((len(names), most)), np.zeros((len(names), most))
+    for i, w in enumerate(names):
+        k = size[i]
+        flat[i, :k, :k], chance[i, :k], even[i, :k] = model.shared[w], model.prior[w], 1 / k
+    care, named = np.array([model.care(w) for w in names]), np.array(names)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("record")
+            cells = lists.flatten()
+            if not len(cells):
+                continue
+            owner = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            w, t, a, n = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("workflow_id", "truth", "answer", "n"))
+            # only the workflows that a volunteer took part in
+            pair, row = np.unique(owner * len(names) + np.searchsorted(named, w), return_inverse=True)
+            who, i = pair // len(names), pair % len(names)
+            record = np.bincount((row * most + t) * most + a, weights=n, minlength=len(pair) * most * most).reshape(-1, most, most)
+            given = record.sum(1)
+            total = given.sum(1)
+            habit = (given + 2 * even[i]) / (total[:, None] + 2)
+            of = lambda v: np.bincount(who, weights=v, minlength=len(batch)) / np.bincount(who, weights=total, minlength=len(batch))
+            best, luck = of(total * care[i]), of(total * (habit * chance[i]).sum(1))
+            accuracy = batch.column("accuracy").to_numpy(zero_copy_only=False)
+            if s.by_truth:
+                r = np.clip((accuracy - luck) / np.maximum(best - luck, 0.05), 0.02, 0.98)[who][:, None, None]
+                mixed = r * flat[i] + (1 - r) * habit[:, None, :]
+                chances = (record + s.own_record * mixed) / (record.sum(2, keepdims=True) + s.own_record)
+                own = np.log(np.maximum(chances, 1e-4))
+            else:
+                own = np.eye(most)[None] * np.array([_odds(accuracy[u], size[j]) for u, j in zip(who, i, strict=True)])[:, None, None]
+            values = pa.array(_even(own).ravel())
+            offsets = pa.array(np.arange(len(pair) + 1, dtype=np.int32) * most * most)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("user_key").take(pa.array(who)), pa.array(named[i].astype(np.int32)), pa.ListArray.from_arrays(offsets, values)],
+                names=["user_key", "workflow_id", "own"],
+            )
+
+    return weigh
+
+
+def _subjects(scores: DataFrame, votes: DataFrame, tasks: list[tuple], most: int, settings: Settings) -> DataFrame:
+    """Consensus rows. ``agreement`` corrects the share of agreeing pairs for chance, like Krippendorff's alpha does for missing ratings.
+
+    Only subjects with two ballots or more have pairs: ballots that stand alone count neither as agreement (it is
+    null for them) nor towards the chance of it, which is that of two random paired ballots of the workflow.
+    Agreement 1 is unanimity, 0 what chance gives.
     """
+    counted = votes.groupBy(*SUBJECT).agg(*(F.count_if(F.col("answer") == t).alias(f"c{t}") for t in range(most)))
+    counted = durable(counted.select(*SUBJECT, F.array(*(F.col(f"c{t}") for t in range(most))).alias("counts")).join(scores, SUBJECT))
     n = F.col("n").cast("double")
     pairs = F.aggregate("counts", F.lit(0.0), lambda s, c: s + c * (c - 1)) / F.nullif(n * (n - 1), F.lit(0.0))
-    answers = scores.select("workflow_id", F.posexplode("counts").alias("a", "c")).groupBy("workflow_id", "a").agg(F.sum("c").alias("c"))
+    answers = counted.where("n >= 2").select("workflow_id", F.posexplode("counts").alias("a", "c")).groupBy("workflow_id", "a").agg(F.sum("c").alias("c"))
     chance = answers.groupBy("workflow_id").agg((F.sum(F.col("c") * (F.col("c") - 1.0))).alias("same"), F.sum("c").alias("all")).select(
         "workflow_id", (F.col("same") / F.nullif(F.col("all") * (F.col("all") - 1.0), F.lit(0.0))).alias("e")
     )
-    votes = F.get("counts", F.col("label"))
+    named = votes.sparkSession.createDataFrame(tasks, "workflow_id int, task string")
+    small = lambda df: broadcast_if_small(df, len(tasks), settings.broadcast_workflows)
+    cast = F.get("counts", F.col("label"))
     return (
-        scores.where(F.col("n") >= settings.min_ballots).join(F.broadcast(chance), "workflow_id")  # a row for each workflow
+        counted.where(F.col("n") >= settings.min_ballots).join(small(named), "workflow_id").join(small(chance), "workflow_id", "left")
         .select(
-            "workflow_id", "subject_id", "task", F.col("label").alias("answer"), F.col("n").alias("ballots"),
-            votes.alias("votes"), (votes / n).alias("share"),
+            *SUBJECT, "task", F.col("label").alias("answer"), F.col("n").alias("ballots"),
+            cast.alias("votes"), (cast / n).alias("share"),
             F.when(F.col("n") < 2, None).when(F.col("e") < 1, (pairs - F.col("e")) / (1 - F.col("e"))).otherwise(1.0).alias("agreement"),
         )
     )
 
 
-def _volunteers(users: DataFrame | None, votes: DataFrame, settings: Settings) -> DataFrame:
+def _volunteers(records: DataFrame | None, votes: DataFrame, settings: Settings) -> DataFrame:
     cast = votes.groupBy("user_key").agg(F.count(F.lit(1)).alias("ballots"))
-    if users is None:
+    if records is None:
         return cast.select("user_key", "ballots", F.lit(settings.prior_accuracy).alias("accuracy"))
-    return cast.join(users.select("user_key", "accuracy"), "user_key", "left").select(
+    return cast.join(records.select("user_key", "accuracy"), "user_key", "left").select(
         "user_key", "ballots", F.coalesce("accuracy", F.lit(settings.prior_accuracy)).alias("accuracy")
     )
