@@ -31,16 +31,14 @@ from pyspark.sql import functions as F
 from tallyfield.session import broadcast_if_small, durable, parallelism, release
 
 SUBJECT = ["workflow_id", "subject_id"]
-RECORD = "user_key string, accuracy double, record array<struct<workflow_id:int,truth:int,answer:int,n:long>>"
-WEIGHTS = "user_key string, workflow_id int, own array<double>"
-GRID = 2.0**20  # weights are multiples of 1/GRID, so sums don't depend on their order and equal votes tie
+WEIGHTS = "user_key string, workflow_id int, own array<float>"
+GRID = 2.0**18  # weights are multiples of 1/GRID, exact as floats; so sums don't depend on their order, and equal votes tie
 
 
 @dataclass(frozen=True)
 class Settings:
     min_ballots: int = 5  # subjects with fewer take part but give no consensus row; with 1 every subject gives one
     max_rounds: int = 100  # far more than it takes; a warning is given if consensus answers still change then
-    stable: float = 0.0  # share of consensus answers that may still change in the last round
     by_truth: bool = True  # weights for each possible truth; else one for each volunteer, from the accuracy alone
     prior_accuracy: float = 0.7  # smoothing of a volunteer's accuracy, worth prior_ballots
     prior_ballots: float = 2.0
@@ -110,39 +108,39 @@ def consensus(ballots: DataFrame, settings: Settings = Settings()) -> Consensus:
     sizes, tasks = {r["workflow_id"]: r["k"] for r in asked}, [(r["workflow_id"], r["task"]) for r in asked]
     total, most, parts = sum(r["n"] for r in asked), max(sizes.values(), default=1), parallelism(spark)
     fair = max(total / (4 * parts), 1)
+    heads = votes.groupBy(*SUBJECT).agg(F.min("user_key").alias("head"))  # one ballot of each subject that its answer is counted by
     big_subjects, big_users = _shards(votes, SUBJECT, fair), _shards(votes, ["user_key"], fair)
     laid = (
         votes.join(F.broadcast(big_subjects), SUBJECT, "left").join(F.broadcast(big_users.withColumnRenamed("shards", "user_shards")), "user_key", "left")
-        .select(*SUBJECT, "user_key", "answer", F.pmod(F.xxhash64("user_key"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"),
+        .join(heads, SUBJECT)
+        .select(*SUBJECT, "user_key", "answer", (F.col("user_key") == F.col("head")).alias("head"), F.pmod(F.xxhash64("user_key"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"),
                 F.pmod(F.xxhash64("subject_id"), F.coalesce("user_shards", F.lit(1))).cast("int").alias("user_shard"))
         .repartition(parts, "user_key", "user_shard", "workflow_id").persist()
     )
 
-    even = {w: np.full(k, 1 / k) for w, k in sizes.items()}
-    model = _Model(sizes, even, {}, s)
-    records = before = scores = None
-    rounds, changed, states = 0, 0.0, set()
-    while True:
-        cast = _weighted(laid, records, big_users, model, most).repartition(parts, *SUBJECT, "shard").persist()
-        scores = durable(_scores(cast, records is not None, model, most))
-        prior, changed = _labels(scores, before, sizes)
-        if rounds and changed <= s.stable or not sizes:
-            break
-        if rounds >= s.max_rounds:
-            warnings.warn(f"consensus: {changed:.2%} of the answers still change after {rounds} rounds", RuntimeWarning, stacklevel=2)
-            break
-        found = durable(_records(cast, scores, big_subjects, s, most))
-        shared, state = _shared(found, sizes, s)
+    model = _Model(sizes, {w: np.full(k, 1 / k) for w, k in sizes.items()}, {}, s)
+    records = last = labels = None
+    rounds, settled, states = 0, not sizes, set()
+    while not settled:
+        cast = _weighted(laid, records, big_users, model, most).repartition(parts, *SUBJECT, "shard")
+        found = durable(_records(cast, _scores(cast, model, most), big_subjects, s, most))
+        shared, prior, state, now = _shared(found, sizes, s)
+        settled = now == labels
         state = (state, *((w, p.tobytes()) for w, p in sorted(prior.items())))
-        if state in states:  # records and prior decide all that follows
+        if settled or rounds >= s.max_rounds or state in states:  # records and prior decide all that follows
             break
         states.add(state)
-        records, model, before = found, _Model(sizes, prior, shared, s), scores.select(*SUBJECT, F.col("label").alias("last"))
-        cast.unpersist()
+        last, labels = (records, model), now
+        records, model = found, _Model(sizes, prior, shared, s)
         rounds += 1
-        if rounds % 4 == 0:
-            release(spark)
-    cast.unpersist()
+        release(spark)
+    answers = lambda of: _scores(_weighted(laid, of[0], big_users, of[1], most).repartition(parts, *SUBJECT, "shard"), of[1], most)
+    scores, changed = durable(answers((records, model))), 0.0
+    if not settled:
+        before = answers(last).select(*SUBJECT, F.col("label").alias("last"))
+        changed = scores.join(before, SUBJECT).agg(F.avg((F.col("label") != F.col("last")).cast("double"))).first()[0]
+        if rounds >= s.max_rounds:
+            warnings.warn(f"consensus: {changed:.2%} of the answers still change after {rounds} rounds", RuntimeWarning, stacklevel=2)
     laid.unpersist()
     return Consensus(_subjects(scores, votes, tasks, most, s), _volunteers(records, votes, s), rounds, changed)
 
@@ -162,7 +160,7 @@ def _copies(rows: DataFrame, shards: DataFrame, keys: list[str], name: str) -> D
 def _parameters(rows: DataFrame, model: _Model, most: int) -> DataFrame:
     """``workflow_id, base, plain``: one row for each workflow."""
     table = model.table(most) if model.shared else [(w, _even(np.where(np.arange(most) < k, 0, -1e18)).tolist(), []) for w, k in model.sizes.items()]
-    params = rows.sparkSession.createDataFrame(table, "workflow_id int, base array<double>, plain array<double>")
+    params = rows.sparkSession.createDataFrame(table, "workflow_id int, base array<double>, plain array<float>")
     return broadcast_if_small(params, len(table), model.settings.broadcast_workflows)
 
 
@@ -171,9 +169,9 @@ def _weighted(laid: DataFrame, records: DataFrame | None, big_users: DataFrame,
 
     Volunteers without a record in a workflow, whose ballots there all stand alone, weigh as ``plain``.
     """
-    kept = [*SUBJECT, "shard", "user_key", "user_shard", "answer"]
+    kept = [*SUBJECT, "shard", "user_key", "user_shard", "answer", "head"]
     if records is None:
-        return laid.select(*kept, *((F.col("answer") == t).cast("double").alias(f"o{t}") for t in range(most)))
+        return laid.select(*kept, *((F.col("answer") == t).cast("float").alias(f"o{t}") for t in range(most)))
     weights = records.select("user_key", "accuracy", "record").mapInArrow(_weigh(model, most), WEIGHTS)
     own = _copies(weights, big_users, ["user_key"], "user_shard").hint("shuffle_hash")
     rows = laid.join(own, ["user_key", "user_shard", "workflow_id"], "left").join(_parameters(laid, model, most), "workflow_id")
@@ -181,7 +179,7 @@ def _weighted(laid: DataFrame, records: DataFrame | None, big_users: DataFrame,
     return rows.select(*kept, *(F.coalesce(F.get("own", at(t)), F.get("plain", at(t))).alias(f"o{t}") for t in range(most)))
 
 
-def _scores(cast: DataFrame, weighted: bool, model: _Model, most: int) -> DataFrame:
+def _scores(cast: DataFrame, model: _Model, most: int) -> DataFrame:
     """``workflow_id, subject_id, n, z, label``: summed weights for each possible truth, and the best."""
     sums = cast.groupBy(*SUBJECT, "shard").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"o{t}").alias(f"z{t}") for t in range(most)))
     whole = sums.groupBy(*SUBJECT).agg(F.sum("n").alias("n"), *(F.sum(f"z{t}").alias(f"z{t}") for t in range(most)))
@@ -190,51 +188,54 @@ def _scores(cast: DataFrame, weighted: bool, model: _Model, most: int) -> DataFr
     return out.withColumn("label", (F.array_position("z", F.array_max("z")) - 1).cast("int"))
 
 
-def _labels(scores: DataFrame, before: DataFrame | None, sizes: dict[int, int]) -> tuple[dict[int, np.ndarray], float]:
-    """How often each answer is the consensus in each workflow, and the share of consensus answers that changed."""
-    rows = scores.select(*SUBJECT, "label", F.lit(1).alias("changed"))
-    if before is not None:
-        rows = scores.join(before, SUBJECT).select("workflow_id", "label", (F.col("label") != F.col("last")).cast("int").alias("changed"))
-    prior = {w: np.ones(k) for w, k in sizes.items()}
-    total = changed = 0
-    for r in rows.groupBy("workflow_id", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("changed").alias("c")).collect():
-        prior[r["workflow_id"]][r["label"]] += r["n"]
-        total, changed = total + r["n"], changed + r["c"]
-    return {w: p / p.sum() for w, p in prior.items()}, changed / total if total else 0.0
-
-
 def _records(cast: DataFrame, scores: DataFrame, big_subjects: DataFrame, settings: Settings, most: int) -> DataFrame:
-    """``RECORD``; record: (workflow, truth as the others see it, answer, ballots)."""
-    sums = _copies(scores.where("n >= 2").select(*SUBJECT, "z"), big_subjects, SUBJECT, "shard").hint("shuffle_hash")
+    """``user_key, accuracy, record``; record: (workflow, truth as the others see it, answer, label, ballots, mark).
+
+    The truth is null for a subject's only ballot. ``label`` is the consensus where the ballot is its subject's head,
+    and ``mark`` a hash of these labels.
+    """
+    sums = _copies(scores, big_subjects, SUBJECT, "shard").hint("shuffle_hash")
     others = F.array(*(F.get("z", F.lit(t)) - F.col(f"o{t}") for t in range(most)))
-    seen = cast.join(sums, [*SUBJECT, "shard"]).select("user_key", "user_shard", "workflow_id", "answer", others.alias("o")).select(
-        "user_key", "user_shard", "workflow_id", "answer", (F.array_position("o", F.array_max("o")) - 1).cast("int").alias("truth")
-    )
+    label = F.when(F.col("head"), F.col("label"))
+    seen = cast.join(sums, [*SUBJECT, "shard"]).select(
+        "user_key", "workflow_id", "answer", F.when(F.col("n") >= 2, others).alias("o"), label.alias("label"),
+        F.when(F.col("head"), F.xxhash64(*SUBJECT, "label")).alias("mark"),
+    ).withColumn("truth", (F.array_position("o", F.array_max("o")) - 1).cast("int"))
     # combined before it is shuffled, so that a volunteer with very many ballots is few rows from here on
-    cells = seen.groupBy("user_key", "workflow_id", "truth", "answer").agg(F.count(F.lit(1)).alias("n"))
-    hits = F.sum(F.when(F.col("truth") == F.col("answer"), F.col("n")).otherwise(0))
+    cells = seen.groupBy("user_key", "workflow_id", "truth", "answer", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("mark").alias("mark"))
+    known = F.col("truth").isNotNull()
+    hits, all_ = F.sum(F.when(F.col("truth") == F.col("answer"), F.col("n")).otherwise(0)), F.sum(F.when(known, F.col("n")).otherwise(0))
     p, m = settings.prior_accuracy, settings.prior_ballots
     return cells.groupBy("user_key").agg(
-        ((hits + p * m) / (F.sum("n") + m)).alias("accuracy"), F.collect_list(F.struct("workflow_id", "truth", "answer", "n")).alias("record")
+        ((hits + p * m) / (all_ + m)).alias("accuracy"), F.collect_list(F.struct("workflow_id", "truth", "answer", "label", "n", "mark")).alias("record")
     )
 
 
-def _shared(records: DataFrame, sizes: dict[int, int], settings: Settings) -> tuple[dict[int, np.ndarray], frozenset]:
-    """For each workflow, how often each answer is given to each truth; accurate volunteers count more. And a fingerprint of all records."""
-    shared = {}
+def _shared(records: DataFrame, sizes: dict[int, int], settings: Settings) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], frozenset, int]:
+    """How often each answer is given to each truth (accurate volunteers count more) and how often each is the consensus, for each workflow.
+
+    And fingerprints of all records and of all consensus answers.
+    """
+    shared, prior = {}, {w: np.ones(k) for w, k in sizes.items()}
     for w, k in sizes.items():
         rest = (1 - settings.prior_accuracy) / max(k - 1, 1)
         shared[w] = settings.shared_record * (np.full((k, k), rest) + np.eye(k) * (settings.prior_accuracy - rest))
-    cells = records.select("user_key", (F.col("accuracy") ** 2).alias("a"), F.inline("record")).groupBy("workflow_id", "truth", "answer")
-    prints = []
-    for r in cells.agg(F.sum(F.round(F.col("a") * F.col("n") * GRID)).alias("s"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("user_key", "n")).alias("h")).collect():  # workflows times answers squared
-        shared[r["workflow_id"]][r["truth"], r["answer"]] += r["s"] / GRID
-        prints.append(tuple(r[c] for c in ("workflow_id", "truth", "answer", "n", "h")))
-    return {w: c / c.sum(1, keepdims=True) for w, c in shared.items()}, frozenset(prints)
+    cells = records.select("user_key", (F.col("accuracy") ** 2).alias("a"), F.inline("record")).groupBy("workflow_id", "truth", "answer", "label")
+    prints, labels = [], 0
+    weight = F.sum(F.round(F.col("a") * F.col("n") * GRID))
+    for r in cells.agg(weight.alias("s"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("user_key", "n")).alias("h"), F.bit_xor("mark").alias("m")).collect():  # workflows times answers cubed
+        w = r["workflow_id"]
+        if r["truth"] is not None:
+            shared[w][r["truth"], r["answer"]] += r["s"] / GRID
+        if r["label"] is not None:
+            prior[w][r["label"]] += r["n"]
+            labels ^= r["m"]
+        prints.append((w, r["truth"], r["answer"], r["label"], r["n"], r["h"]))
+    return {w: c / c.sum(1, keepdims=True) for w, c in shared.items()}, {w: p / p.sum() for w, p in prior.items()}, frozenset(prints), labels
 
 
 def _weigh(model: _Model, most: int):
-    """Batches of ``RECORD`` to ``WEIGHTS``: for each volunteer and workflow with a record, the weight of every answer for every truth."""
+    """Batches of ``_records`` to ``WEIGHTS``: for each volunteer and workflow with a record, the weight of every answer for every truth."""
     s, names = model.settings, sorted(model.sizes)
     size = np.array([model.sizes[w] for w in names])
     flat, chance, even = np.zeros((len(names), most, most)), np.zeros((len(names), most)), np.zeros((len(names), most))
@@ -250,7 +251,11 @@ def _weigh(model: _Model, most: int):
             if not len(cells):
                 continue
             owner = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            w, t, a, n = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("workflow_id", "truth", "answer", "n"))
+            told = cells.field("truth").is_valid().to_numpy(zero_copy_only=False)
+            if not told.any():
+                continue
+            w, t, a, n = (cells.field(c).filter(pa.array(told)).to_numpy(zero_copy_only=False) for c in ("workflow_id", "truth", "answer", "n"))
+            owner = owner[told]
             # only the workflows that a volunteer took part in
             pair, row = np.unique(owner * len(names) + np.searchsorted(named, w), return_inverse=True)
             who, i = pair // len(names), pair % len(names)
@@ -258,7 +263,7 @@ def _weigh(model: _Model, most: int):
             given = record.sum(1)
             total = given.sum(1)
             habit = (given + 2 * even[i]) / (total[:, None] + 2)
-            of = lambda v: np.bincount(who, weights=v, minlength=len(batch)) / np.bincount(who, weights=total, minlength=len(batch))
+            of = lambda v: np.bincount(who, weights=v, minlength=len(batch)) / np.maximum(np.bincount(who, weights=total, minlength=len(batch)), 1)
             best, luck = of(total * care[i]), of(total * (habit * chance[i]).sum(1))
             accuracy = batch.column("accuracy").to_numpy(zero_copy_only=False)
             if s.by_truth:
@@ -268,7 +273,7 @@ def _weigh(model: _Model, most: int):
                 own = np.log(np.maximum(chances, 1e-4))
             else:
                 own = np.eye(most)[None] * np.array([_odds(accuracy[u], size[j]) for u, j in zip(who, i, strict=True)])[:, None, None]
-            values = pa.array(_even(own).ravel())
+            values = pa.array(_even(own).ravel().astype(np.float32))
             offsets = pa.array(np.arange(len(pair) + 1, dtype=np.int32) * most * most)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("user_key").take(pa.array(who)), pa.array(named[i].astype(np.int32)), pa.ListArray.from_arrays(offsets, values)],
