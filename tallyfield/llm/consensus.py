@@ -11,13 +11,15 @@ volunteers reach, and is corrected by their own record. A volunteer who always g
 random or follows a ring therefore loses all weight, and a rare answer can win over a frequent one that is its
 usual mistake. ``Settings(by_truth=False)`` gives each ballot the log odds of its volunteer's accuracy instead.
 
-Ballots are laid out twice, by volunteer (to meet their weights) and by subject (to be summed and compared), and
-each round moves them once in either direction; all else that moves is a row for each subject or volunteer. A
-subject or volunteer with more than a fair share of all ballots is cut into shards, and its row is copied to them.
+Ballots are laid out by volunteer, where they meet their weights; each round moves them to their subjects once, where
+they are summed and compared, and counts of equal outcomes back. A volunteer with more than a fair share of all
+ballots is cut into shards and the weights are copied to them; a subject with more than that is cut as well, and the
+sums of these few subjects (at most four for each task) are taken by themselves before each round.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import warnings
 from collections.abc import Iterator
@@ -25,13 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.session import broadcast_if_small, durable, parallelism, release
+from tallyfield.session import durable, parallelism, release
 
 SUBJECT = ["workflow_id", "subject_id"]
-WEIGHTS = "user_key string, workflow_id int, own array<float>"
+WEIGHTS = "user_key string, user_shard int, w int, own array<float>"
 GRID = 2.0**18  # weights are multiples of 1/GRID, exact as floats; so sums don't depend on their order, and equal votes tie
 
 
@@ -44,7 +46,6 @@ class Settings:
     prior_ballots: float = 2.0
     own_record: float = 12.0  # ballots after which a volunteer's own record counts as much as the mixture
     shared_record: float = 10.0
-    broadcast_workflows: int = 10_000  # workflows up to which their parameters are broadcast
 
 
 @dataclass(frozen=True)
@@ -68,21 +69,24 @@ class _Model:
         """Share of right answers that careful volunteers reach."""
         return float((self.prior[w] * np.diag(self.shared[w])).sum())
 
-    def table(self, most: int) -> list[tuple]:
-        """(workflow, log prior, weights of volunteers without a record), padded to ``most`` answers; impossible truths get -1e18."""
-        out, s = [], self.settings
-        for w, k in self.sizes.items():
-            base, plain = np.full(most, -1e18), np.zeros((most, most))
+    def base(self, most: int) -> list[list[float]]:
+        """Log prior of each possible truth in each workflow, padded to ``most`` answers; impossible ones get -1e18."""
+        out = np.full((len(self.sizes), most), -1e18)
+        for i, (w, k) in enumerate(self.sizes.items()):
+            out[i, :k] = np.log(self.prior[w]) if self.shared and self.settings.by_truth else 0
+        return _even(out).tolist()
+
+    def plain(self, most: int) -> list[list[float]]:
+        """Weights of volunteers without a record, by truth and answer."""
+        out, s = np.zeros((len(self.sizes), most, most)), self.settings
+        for i, (w, k) in enumerate(self.sizes.items()):
             if s.by_truth:
-                base[:k] = np.log(self.prior[w])
                 luck, best = 1 / k, self.care(w)
                 r = np.clip((s.prior_accuracy - luck) / max(best - luck, 0.05), 0.02, 0.98)
-                plain[:k, :k] = np.log(np.maximum(r * self.shared[w] + (1 - r) / k, 1e-4))
+                out[i, :k, :k] = np.log(np.maximum(r * self.shared[w] + (1 - r) / k, 1e-4))
             else:
-                base[:k] = 0
-                plain[:k, :k] = np.eye(k) * _odds(np.array(s.prior_accuracy), k)
-            out.append((w, _even(base).tolist(), _even(plain).ravel().tolist()))
-        return out
+                out[i, :k, :k] = np.eye(k) * _odds(np.array(s.prior_accuracy), k)
+        return _even(out).reshape(len(self.sizes), most * most).tolist()
 
 
 def _even(x: np.ndarray) -> np.ndarray:
@@ -105,26 +109,19 @@ def consensus(ballots: DataFrame, settings: Settings = Settings()) -> Consensus:
     s, spark = settings, ballots.sparkSession
     votes = durable(ballots.select(*SUBJECT, "task", "n_answers", "user_key", "answer").dropna())
     asked = votes.groupBy("workflow_id").agg(F.max("n_answers").alias("k"), F.max("task").alias("task"), F.count(F.lit(1)).alias("n")).collect()
-    sizes, tasks = {r["workflow_id"]: r["k"] for r in asked}, [(r["workflow_id"], r["task"]) for r in asked]
+    sizes = {r["workflow_id"]: r["k"] for r in sorted(asked)}  # a row for each workflow
+    names = [(i, r["workflow_id"], r["task"]) for i, r in enumerate(sorted(asked))]
     total, most, parts = sum(r["n"] for r in asked), max(sizes.values(), default=1), parallelism(spark)
     fair = max(total / (4 * parts), 1)
-    heads = votes.groupBy(*SUBJECT).agg(F.min("user_key").alias("head"))  # one ballot of each subject that its answer is counted by
-    big_subjects, big_users = _shards(votes, SUBJECT, fair), _shards(votes, ["user_key"], fair)
-    laid = (
-        votes.join(F.broadcast(big_subjects), SUBJECT, "left").join(F.broadcast(big_users.withColumnRenamed("shards", "user_shards")), "user_key", "left")
-        .join(heads, SUBJECT)
-        .select(*SUBJECT, "user_key", "answer", (F.col("user_key") == F.col("head")).alias("head"), F.pmod(F.xxhash64("user_key"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"),
-                F.pmod(F.xxhash64("subject_id"), F.coalesce("user_shards", F.lit(1))).cast("int").alias("user_shard"))
-        .repartition(parts, "user_key", "user_shard", "workflow_id").persist()
-    )
+    laid = _laid(votes, spark.createDataFrame(names, "w int, workflow_id int, task string"), fair, parts).persist()
+    crowded = laid.where("hot IS NOT NULL").select("hot").distinct().count()
 
     model = _Model(sizes, {w: np.full(k, 1 / k) for w, k in sizes.items()}, {}, s)
     records = last = labels = None
     rounds, settled, states = 0, not sizes, set()
     while not settled:
-        cast = _weighted(laid, records, big_users, model, most).repartition(parts, *SUBJECT, "shard")
-        found = durable(_records(cast, _scores(cast, model, most), big_subjects, s, most))
-        shared, prior, state, now = _shared(found, sizes, s)
+        found = durable(_records(_summed(laid, records, model, most, crowded), s, most))
+        shared, prior, state, now = _shared(found, list(sizes.items()), s)
         settled = now == labels
         state = (state, *((w, p.tobytes()) for w, p in sorted(prior.items())))
         if settled or rounds >= s.max_rounds or state in states:  # records and prior decide all that follows
@@ -134,97 +131,123 @@ def consensus(ballots: DataFrame, settings: Settings = Settings()) -> Consensus:
         records, model = found, _Model(sizes, prior, shared, s)
         rounds += 1
         release(spark)
-    answers = lambda of: _scores(_weighted(laid, of[0], big_users, of[1], most).repartition(parts, *SUBJECT, "shard"), of[1], most)
-    scores, changed = durable(answers((records, model))), 0.0
-    if not settled:
-        before = answers(last).select(*SUBJECT, F.col("label").alias("last"))
-        changed = scores.join(before, SUBJECT).agg(F.avg((F.col("label") != F.col("last")).cast("double"))).first()[0]
+    scores, changed = durable(_answers(_summed(laid, records, model, most, crowded))), 0.0
+    if not settled and last:
+        before = _answers(_summed(laid, *last, most, crowded)).select("w", "subject_id", F.col("label").alias("last"))
+        changed = scores.join(before, ["w", "subject_id"]).agg(F.avg((F.col("label") != F.col("last")).cast("double"))).first()[0]
         if rounds >= s.max_rounds:
             warnings.warn(f"consensus: {changed:.2%} of the answers still change after {rounds} rounds", RuntimeWarning, stacklevel=2)
     laid.unpersist()
-    return Consensus(_subjects(scores, votes, tasks, most, s), _volunteers(records, votes, s), rounds, changed)
-
+    return Consensus(_subjects(scores, votes, names, most, s), _volunteers(records, votes, s), rounds, changed)
 
-def _shards(votes: DataFrame, keys: list[str], fair: float) -> DataFrame:
-    """``keys, shards`` of those with more than ``fair`` ballots: at most all ballots over ``fair`` rows, four for each task."""
-    heavy = votes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fair).collect()
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in votes.select(*keys).schema.fields)
-    return votes.sparkSession.createDataFrame([(*(r[k] for k in keys), math.ceil(r["n"] / fair)) for r in heavy], f"{schema}, shards int")
 
+def _laid(votes: DataFrame, names: DataFrame, fair: float, parts: int) -> DataFrame:
+    """``w, subject_id, shard, hot, user_key, user_shard, user_shards, answer, head`` by volunteer.
 
-def _copies(rows: DataFrame, shards: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``rows`` once for each shard of their key."""
-    return rows.join(F.broadcast(shards), keys, "left").withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1))).drop("shards")
+    ``w`` numbers the workflows, ``hot`` the subjects with more than ``fair`` ballots; ``head`` marks one ballot of each subject.
+    """
+    heavy = lambda *keys: votes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fair).orderBy(*keys).collect()
+    pieces = lambda n: math.ceil(n / fair)
+    # at most all ballots over ``fair``, that is four rows for each task
+    subjects = [(r["workflow_id"], r["subject_id"], i, pieces(r["n"])) for i, r in enumerate(heavy(*SUBJECT))]
+    users = [(r["user_key"], pieces(r["n"])) for r in heavy("user_key")]
+    make = votes.sparkSession.createDataFrame
+    cut = lambda by, n: F.pmod(F.xxhash64(by), F.coalesce(n, F.lit(1))).cast("int")
+    heads = votes.groupBy(*SUBJECT).agg(F.min("user_key").alias("first"))
+    return (
+        votes.join(heads, SUBJECT).join(F.broadcast(names.select("w", "workflow_id")), "workflow_id")
+        .join(F.broadcast(make(subjects, "workflow_id int, subject_id long, hot int, shards int")), SUBJECT, "left")
+        .join(F.broadcast(make(users, "user_key string, user_shards int")), "user_key", "left")
+        .select(
+            "w", "subject_id", cut("user_key", F.col("shards")).alias("shard"), "hot", "user_key", cut("subject_id", F.col("user_shards")).alias("user_shard"),
+            F.coalesce("user_shards", F.lit(1)).alias("user_shards"), "answer", (F.col("user_key") == F.col("first")).alias("head"),
+        ).repartition(parts, "user_key", "user_shard", "w")
+    )
 
 
-def _parameters(rows: DataFrame, model: _Model, most: int) -> DataFrame:
-    """``workflow_id, base, plain``: one row for each workflow."""
-    table = model.table(most) if model.shared else [(w, _even(np.where(np.arange(most) < k, 0, -1e18)).tolist(), []) for w, k in model.sizes.items()]
-    params = rows.sparkSession.createDataFrame(table, "workflow_id int, base array<double>, plain array<float>")
-    return broadcast_if_small(params, len(table), model.settings.broadcast_workflows)
+def _constant(values: list, schema: str) -> Column:
+    """Numbers of the driver as one constant, kept out of the generated code so that it is compiled once for all rounds."""
+    return F.from_json(F.lit(json.dumps(values)), schema)
 
 
-def _weighted(laid: DataFrame, records: DataFrame | None, big_users: DataFrame, model: _Model, most: int) -> DataFrame:
-    """Ballots with ``o0, o1, ...``: what each adds to the score of every possible truth.
+def _summed(laid: DataFrame, records: DataFrame | None, model: _Model, most: int, crowded: int) -> DataFrame:
+    """Ballots with ``o`` (what each adds to the score of every possible truth), ``z`` (its subject's scores) and ``n``.
 
     Volunteers without a record in a workflow, whose ballots there all stand alone, weigh as ``plain``.
     """
-    kept = [*SUBJECT, "shard", "user_key", "user_shard", "answer", "head"]
+    kept = ["w", "subject_id", "shard", "hot", "user_key", "user_shards", "answer", "head"]
     if records is None:
-        return laid.select(*kept, *((F.col("answer") == t).cast("float").alias(f"o{t}") for t in range(most)))
-    weights = records.select("user_key", "accuracy", "record").mapInArrow(_weigh(model, most), WEIGHTS)
-    own = _copies(weights, big_users, ["user_key"], "user_shard").hint("shuffle_hash")
-    rows = laid.join(own, ["user_key", "user_shard", "workflow_id"], "left").join(_parameters(laid, model, most), "workflow_id")
-    at = lambda t: F.lit(t * most) + F.col("answer")
-    return rows.select(*kept, *(F.coalesce(F.get("own", at(t)), F.get("plain", at(t))).alias(f"o{t}") for t in range(most)))
+        rows = laid.select(*kept, *((F.col("answer") == t).cast("float").alias(f"o{t}") for t in range(most)))
+    else:
+        own = records.select("user_key", "user_shards", "accuracy", "record").mapInArrow(_weigh(model, most), WEIGHTS)
+        plain = F.get(_constant(model.plain(most), "array<array<float>>"), F.col("w"))
+        at = lambda t: F.lit(t * most) + F.col("answer")
+        rows = laid.join(own.hint("shuffle_hash"), ["user_key", "user_shard", "w"], "left").select(
+            *kept, *(F.coalesce(F.get("own", at(t)), F.get(plain, at(t))).alias(f"o{t}") for t in range(most))
+        )
+    sums = [F.sum(f"o{t}") for t in range(most)]
+    whole = [[]] * crowded
+    if crowded:
+        hot = rows.where("hot IS NOT NULL").groupBy("hot").agg(F.count(F.lit(1)).cast("double").alias("n"), *(x.alias(f"z{t}") for t, x in enumerate(sums)))
+        for r in hot.collect():  # at most four for each task
+            whole[r["hot"]] = [r["n"], *(r[f"z{t}"] for t in range(most))]
+    total = F.get(_constant(whole, "array<array<double>>"), F.col("hot"))
+    here = Window.partitionBy("w", "subject_id", "shard")
+    base = F.get(_constant(model.base(most), "array<array<double>>"), F.col("w"))
+    rows = rows.select("*", F.count(F.lit(1)).over(here).alias("m"), *(x.over(here).alias(f"z{t}") for t, x in enumerate(sums)))
+    of = lambda t: F.when(F.col("hot").isNull(), F.col(f"z{t}")).otherwise(F.get(total, F.lit(t + 1))) + F.get(base, F.lit(t))
+    return rows.select(
+        "w", "subject_id", "user_key", "user_shards", "answer", "head", F.array(*(F.col(f"o{t}") for t in range(most))).alias("o"),
+        F.array(*(of(t) for t in range(most))).alias("z"), F.when(F.col("hot").isNull(), F.col("m")).otherwise(F.get(total, F.lit(0)).cast("long")).alias("n"),
+    )
+
 
+def _best(z: Column) -> Column:
+    return (F.array_position(z, F.array_max(z)) - 1).cast("int")
 
-def _scores(cast: DataFrame, model: _Model, most: int) -> DataFrame:
-    """``workflow_id, subject_id, n, z, label``: summed weights for each possible truth, and the best."""
-    sums = cast.groupBy(*SUBJECT, "shard").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"o{t}").alias(f"z{t}") for t in range(most)))
-    whole = sums.groupBy(*SUBJECT).agg(F.sum("n").alias("n"), *(F.sum(f"z{t}").alias(f"z{t}") for t in range(most)))
-    z = F.array(*(F.col(f"z{t}") + F.get("base", F.lit(t)) for t in range(most)))
-    out = whole.join(_parameters(cast, model, most), "workflow_id").select(*SUBJECT, "n", z.alias("z"))
-    return out.withColumn("label", (F.array_position("z", F.array_max("z")) - 1).cast("int"))
 
+def _answers(summed: DataFrame) -> DataFrame:
+    """``w, subject_id, n, label`` of every subject."""
+    return summed.where("head").select("w", "subject_id", "n", _best(F.col("z")).alias("label"))
 
-def _records(cast: DataFrame, scores: DataFrame, big_subjects: DataFrame, settings: Settings, most: int) -> DataFrame:
-    """``user_key, accuracy, record``; record: (workflow, truth as the others see it, answer, label, ballots, mark).
+
+def _records(summed: DataFrame, settings: Settings, most: int) -> DataFrame:
+    """``user_key, user_shards, accuracy, record``; record: (w, truth as the others see it, answer, label, ballots, mark).
 
     The truth is null for a subject's only ballot. ``label`` is the consensus where the ballot is its subject's head,
     and ``mark`` a hash of these labels.
     """
-    sums = _copies(scores, big_subjects, SUBJECT, "shard").hint("shuffle_hash")
-    others = F.array(*(F.get("z", F.lit(t)) - F.col(f"o{t}") for t in range(most)))
-    label = F.when(F.col("head"), F.col("label"))
-    seen = cast.join(sums, [*SUBJECT, "shard"]).select(
-        "user_key", "workflow_id", "answer", F.when(F.col("n") >= 2, others).alias("o"), label.alias("label"),
-        F.when(F.col("head"), F.xxhash64(*SUBJECT, "label")).alias("mark"),
-    ).withColumn("truth", (F.array_position("o", F.array_max("o")) - 1).cast("int"))
+    others = F.array(*(F.get("z", F.lit(t)) - F.get("o", F.lit(t)) for t in range(most)))
+    seen = summed.select(
+        "user_key", "user_shards", "w", "subject_id", "answer", F.when(F.col("n") >= 2, others).alias("others"), F.when(F.col("head"), _best(F.col("z"))).alias("label")
+    ).select(
+        "user_key", "user_shards", "w", "answer", "label", _best(F.col("others")).alias("truth"),
+        F.when(F.col("label").isNotNull(), F.xxhash64("w", "subject_id", "label")).alias("mark"),
+    )
     # combined before it is shuffled, so that a volunteer with very many ballots is few rows from here on
-    cells = seen.groupBy("user_key", "workflow_id", "truth", "answer", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("mark").alias("mark"))
-    known = F.col("truth").isNotNull()
-    hits, all_ = F.sum(F.when(F.col("truth") == F.col("answer"), F.col("n")).otherwise(0)), F.sum(F.when(known, F.col("n")).otherwise(0))
+    cells = seen.groupBy("user_key", "user_shards", "w", "truth", "answer", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("mark").alias("mark"))
+    hits = F.sum(F.when(F.col("truth") == F.col("answer"), F.col("n")).otherwise(0))
+    told = F.sum(F.when(F.col("truth").isNotNull(), F.col("n")).otherwise(0))
     p, m = settings.prior_accuracy, settings.prior_ballots
-    return cells.groupBy("user_key").agg(
-        ((hits + p * m) / (all_ + m)).alias("accuracy"), F.collect_list(F.struct("workflow_id", "truth", "answer", "label", "n", "mark")).alias("record")
+    return cells.groupBy("user_key", "user_shards").agg(
+        ((hits + p * m) / (told + m)).alias("accuracy"), F.collect_list(F.struct("w", "truth", "answer", "label", "n", "mark")).alias("record")
     )
 
 
-def _shared(records: DataFrame, sizes: dict[int, int], settings: Settings) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], frozenset, int]:
+def _shared(records: DataFrame, sizes: list[tuple[int, int]], settings: Settings) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], frozenset, int]:
     """How often each answer is given to each truth (accurate volunteers count more) and how often each is the consensus, for each workflow.
 
     And fingerprints of all records and of all consensus answers.
     """
-    shared, prior = {}, {w: np.ones(k) for w, k in sizes.items()}
-    for w, k in sizes.items():
+    shared, prior = {}, {w: np.ones(k) for w, k in sizes}
+    for w, k in sizes:
         rest = (1 - settings.prior_accuracy) / max(k - 1, 1)
         shared[w] = settings.shared_record * (np.full((k, k), rest) + np.eye(k) * (settings.prior_accuracy - rest))
-    cells = records.select("user_key", (F.col("accuracy") ** 2).alias("a"), F.inline("record")).groupBy("workflow_id", "truth", "answer", "label")
+    cells = records.select("user_key", (F.col("accuracy") ** 2).alias("a"), F.inline("record")).groupBy("w", "truth", "answer", "label")
     prints, labels = [], 0
     weight = F.sum(F.round(F.col("a") * F.col("n") * GRID))
     for r in cells.agg(weight.alias("s"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("user_key", "n")).alias("h"), F.bit_xor("mark").alias("m")).collect():  # workflows times answers cubed
-        w = r["workflow_id"]
+        w = sizes[r["w"]][0]
         if r["truth"] is not None:
             shared[w][r["truth"], r["answer"]] += r["s"] / GRID
         if r["label"] is not None:
@@ -236,13 +259,13 @@ def _shared(records: DataFrame, sizes: dict[int, int], settings: Settings) -> tu
 
 def _weigh(model: _Model, most: int):
     """Batches of ``_records`` to ``WEIGHTS``: for each volunteer and workflow with a record, the weight of every answer for every truth."""
-    s, names = model.settings, sorted(model.sizes)
+    s, names = model.settings, list(model.sizes)
     size = np.array([model.sizes[w] for w in names])
     flat, chance, even = np.zeros((len(names), most, most)), np.zeros((len(names), most)), np.zeros((len(names), most))
     for i, w in enumerate(names):
         k = size[i]
         flat[i, :k, :k], chance[i, :k], even[i, :k] = model.shared[w], model.prior[w], 1 / k
-    care, named = np.array([model.care(w) for w in names]), np.array(names)
+    care = np.array([model.care(w) for w in names])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,10 +277,10 @@ def _weigh(model: _Model, most: int):
             told = cells.field("truth").is_valid().to_numpy(zero_copy_only=False)
             if not told.any():
                 continue
-            w, t, a, n = (cells.field(c).filter(pa.array(told)).to_numpy(zero_copy_only=False) for c in ("workflow_id", "truth", "answer", "n"))
+            w, t, a, n = (cells.field(c).filter(pa.array(told)).to_numpy(zero_copy_only=False) for c in ("w", "truth", "answer", "n"))
             owner = owner[told]
             # only the workflows that a volunteer took part in
-            pair, row = np.unique(owner * len(names) + np.searchsorted(named, w), return_inverse=True)
+            pair, row = np.unique(owner * len(names) + w, return_inverse=True)
             who, i = pair // len(names), pair % len(names)
             record = np.bincount((row * most + t) * most + a, weights=n, minlength=len(pair) * most * most).reshape(-1, most, most)
             given = record.sum(1)
@@ -273,36 +296,39 @@ def _weigh(model: _Model, most: int):
                 own = np.log(np.maximum(chances, 1e-4))
             else:
                 own = np.eye(most)[None] * np.array([_odds(accuracy[u], size[j]) for u, j in zip(who, i, strict=True)])[:, None, None]
-            values = pa.array(_even(own).ravel().astype(np.float32))
-            offsets = pa.array(np.arange(len(pair) + 1, dtype=np.int32) * most * most)
+            # once for each shard of the volunteer
+            shards = batch.column("user_shards").to_numpy(zero_copy_only=False)[who]
+            place = np.repeat(np.arange(len(pair)), shards)
+            shard = np.arange(len(place)) - np.repeat(np.cumsum(shards) - shards, shards)
+            values = pa.array(_even(own[place]).ravel().astype(np.float32))
+            offsets = pa.array(np.arange(len(place) + 1, dtype=np.int32) * most * most)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("user_key").take(pa.array(who)), pa.array(named[i].astype(np.int32)), pa.ListArray.from_arrays(offsets, values)],
-                names=["user_key", "workflow_id", "own"],
+                [batch.column("user_key").take(pa.array(who[place])), pa.array(shard.astype(np.int32)), pa.array(i[place].astype(np.int32)), pa.ListArray.from_arrays(offsets, values)],
+                names=["user_key", "user_shard", "w", "own"],
             )
 
     return weigh
 
 
-def _subjects(scores: DataFrame, votes: DataFrame, tasks: list[tuple], most: int, settings: Settings) -> DataFrame:
+def _subjects(scores: DataFrame, votes: DataFrame, names: list[tuple], most: int, settings: Settings) -> DataFrame:
     """Consensus rows. ``agreement`` corrects the share of agreeing pairs for chance, like Krippendorff's alpha does for missing ratings.
 
     Only subjects with two ballots or more have pairs: ballots that stand alone count neither as agreement (it is
     null for them) nor towards the chance of it, which is that of two random paired ballots of the workflow.
     Agreement 1 is unanimity, 0 what chance gives.
     """
+    named = votes.sparkSession.createDataFrame(names, "w int, workflow_id int, task string")  # a row for each workflow, as in chance
     counted = votes.groupBy(*SUBJECT).agg(*(F.count_if(F.col("answer") == t).alias(f"c{t}") for t in range(most)))
-    counted = durable(counted.select(*SUBJECT, F.array(*(F.col(f"c{t}") for t in range(most))).alias("counts")).join(scores, SUBJECT))
+    counted = durable(counted.select(*SUBJECT, F.array(*(F.col(f"c{t}") for t in range(most))).alias("counts")).join(scores.join(F.broadcast(named), "w").drop("w"), SUBJECT))
     n = F.col("n").cast("double")
     pairs = F.aggregate("counts", F.lit(0.0), lambda s, c: s + c * (c - 1)) / F.nullif(n * (n - 1), F.lit(0.0))
     answers = counted.where("n >= 2").select("workflow_id", F.posexplode("counts").alias("a", "c")).groupBy("workflow_id", "a").agg(F.sum("c").alias("c"))
     chance = answers.groupBy("workflow_id").agg((F.sum(F.col("c") * (F.col("c") - 1.0))).alias("same"), F.sum("c").alias("all")).select(
         "workflow_id", (F.col("same") / F.nullif(F.col("all") * (F.col("all") - 1.0), F.lit(0.0))).alias("e")
     )
-    named = votes.sparkSession.createDataFrame(tasks, "workflow_id int, task string")
-    small = lambda df: broadcast_if_small(df, len(tasks), settings.broadcast_workflows)
     cast = F.get("counts", F.col("label"))
     return (
-        counted.where(F.col("n") >= settings.min_ballots).join(small(named), "workflow_id").join(small(chance), "workflow_id", "left")
+        counted.where(F.col("n") >= settings.min_ballots).join(F.broadcast(chance), "workflow_id", "left")
         .select(
             *SUBJECT, "task", F.col("label").alias("answer"), F.col("n").alias("ballots"),
             cast.alias("votes"), (cast / n).alias("share"),
