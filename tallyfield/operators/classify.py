@@ -15,10 +15,11 @@ def vote_count(ballots: DataFrame, keys: list[str] | None = None) -> DataFrame:
     null and empty ones included. Questions without any vote give no row.
     """
     keys = keys or QUESTION
-    base = ballots.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_users"), F.sum(F.coalesce(F.size("choices"), F.lit(0)) * (F.col("choices").isNotNull()).cast("int")).alias("all"))
-    votes = ballots.select(*keys, F.explode("choices").alias("answer")).groupBy(*keys, "answer").agg(F.count(F.lit(1)).alias("votes"))
-    same = [votes[k].eqNullSafe(base[k]) for k in keys]
-    return votes.join(base, same).select(*(votes[k] for k in keys), "answer", "votes", (F.col("votes") / F.col("all")).alias("p"), "num_users")
+    said = ballots.select(*keys, F.posexplode_outer("choices").alias("at", "answer"))
+    per = said.groupBy(*keys, "answer").agg(F.count("answer").alias("votes"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("first"))
+    whole = Window.partitionBy(*keys)  # a row for each answer of a question
+    out = per.select("*", F.sum("votes").over(whole).alias("all"), F.sum("first").over(whole).alias("num_users"))
+    return out.where("answer IS NOT NULL").select(*keys, "answer", "votes", (F.col("votes") / F.col("all")).alias("p"), "num_users")
 
 
 def entropy(p: Column) -> Column:

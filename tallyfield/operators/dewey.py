@@ -10,6 +10,7 @@ deliveries fall together afterwards because label and id make equal rows.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,16 +23,65 @@ NODE_SCHEMA = (
 FLAT_SCHEMA = "id long, level string, dewey string, parent string, task string, item_pos int, child string, value string"
 
 
+MARK = re.compile(r'\s*(?:([\[\]{},:])|("(?:[^"\\]|\\.)*")|([^\s\[\]{},:"]+))')
+
+
+def parse_deep(text: str):
+    """JSON of any depth of nesting, by a stack of its own (the built-in reader's depth is limited); ValueError if malformed."""
+    top: list = []
+    stack: list = [(top, "value")]
+    at, end = 0, len(text.rstrip())
+    while at < end:
+        m = MARK.match(text, at)
+        if m is None:
+            raise ValueError(f"no JSON at {at}")
+        at = m.end()
+        sign, holder, state = m.group(1), *stack[-1][:2]
+        if sign in ("]", "}"):
+            if len(stack) == 1 or isinstance(holder, list) != (sign == "]") or state not in ("first", "after"):
+                raise ValueError(f"misplaced {sign} at {at}")
+            stack.pop()
+        elif sign == ",":
+            if state != "after" or len(stack) == 1:
+                raise ValueError(f"misplaced , at {at}")
+            stack[-1] = (holder, "value" if isinstance(holder, list) else "name")
+        elif sign == ":":
+            if state != "colon":
+                raise ValueError(f"misplaced : at {at}")
+            stack[-1] = (holder, "value", stack[-1][2])
+        elif isinstance(holder, dict) and state in ("first", "name"):
+            if not m.group(2):
+                raise ValueError(f"no name at {at}")
+            stack[-1] = (holder, "colon", json.loads(m.group(2)))
+        elif state in ("first", "value"):
+            value = [] if sign == "[" else {} if sign == "{" else json.loads(m.group(2) or m.group(3))
+            if isinstance(holder, list):
+                holder.append(value)
+            else:
+                holder[stack[-1][2]] = value
+            stack[-1] = (holder, "after")
+            if sign:
+                stack.append((value, "first"))
+        else:
+            raise ValueError(f"misplaced value at {at}")
+    if len(stack) > 1 or len(top) != 1:
+        raise ValueError("unfinished JSON")
+    return top[0]
+
+
 def load(text: str | None):
     """The value of JSON text, of JSON inside a JSON string at any depth of encoding; None where it can't be read."""
-    for _ in range(8):
-        if not isinstance(text, str):
-            return text
+    while isinstance(text, str):
         try:
             text = json.loads(text)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            try:
+                text = parse_deep(text)
+            except ValueError:
+                return None
+        except ValueError:
             return None
-    return None
+    return text
 
 
 def kind_of(value) -> str:

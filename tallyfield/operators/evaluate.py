@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
+from .pointers import components
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -52,6 +53,25 @@ def overlapping_rectangles(rects: DataFrame, keys: list[str], cell: float = 256.
     return a.join(b, [*keys, "cx", "cy"]).where(meets & own).select(*keys, F.col("a_pid").alias("left_id"), F.col("b_pid").alias("right_id"))
 
 
+def overlap_groups(rects: DataFrame, keys: list[str], cell: float = 256.0) -> DataFrame:
+    """``keys, pid, group, group_size, links`` of every rectangle: its group of chained overlaps, and how many it overlaps itself.
+
+    Equal rectangles are one for the search. A rectangle that overlaps none is a group of one.
+    """
+    box = ["x1", "y1", "x2", "y2"]
+    named = rects.withColumn("rep", F.xxhash64(*keys, *box))
+    distinct = durable(named.groupBy(*keys, *box, "rep").agg(F.count(F.lit(1)).alias("n")))
+    pairs = durable(overlapping_rectangles(distinct.withColumnRenamed("rep", "pid"), keys, cell).select("left_id", "right_id"))
+    size = distinct.select(F.col("rep").alias("right_id"), "n")
+    both = pairs.unionByName(pairs.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id")))
+    links = both.join(size, "right_id").groupBy(F.col("left_id").alias("rep")).agg(F.sum("n").alias("others"))
+    label = components(pairs.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))).withColumnRenamed("node", "rep")
+    grouped = distinct.join(label, "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("group"))
+    sizes = grouped.groupBy("group").agg(F.sum("n").alias("group_size"))
+    each = grouped.join(links, "rep", "left").join(sizes, "group").select("rep", "group", "group_size", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"))
+    return named.join(each, "rep").select(*keys, "pid", "group", "group_size", "links")
+
+
 def running_totals(counts: DataFrame, order: Column, *values: str) -> DataFrame:
     """``counts`` (one row for each distinct value of ``order``) with sums over all rows up to each in that order.
 

@@ -17,12 +17,15 @@ def major_version(version: Column) -> Column:
     return F.split(version, r"\.")[0].try_cast("int")
 
 
-def latest(classifications: DataFrame, major: dict[int, int] | None = None, at_least: bool = False) -> DataFrame:
+def latest(classifications: DataFrame, major: dict[int, int] | None = None, at_least: bool = False, columns: list[str] | None = None) -> DataFrame:
     """One row for each identity, with ``volunteer`` (the user's id, or a negative number of their own for nameless rows).
 
-    ``major`` keeps the given major version of each workflow (with ``at_least``, that or a later one).
+    ``major`` keeps the given major version of each workflow (with ``at_least``, that or a later one). With ``columns``
+    only these come along with the identity and ``id``, so nothing else is read or shuffled.
     """
-    rows = classifications.withColumn("gold_standard", F.coalesce("gold_standard", F.lit(False)))
+    rows = classifications if columns is None else classifications.select(*IDENTITY, "id", *columns)
+    if "gold_standard" in rows.columns:
+        rows = rows.withColumn("gold_standard", F.coalesce("gold_standard", F.lit(False)))
     if major is not None:
         wanted = F.create_map(*(F.lit(x) for pair in major.items() for x in pair))[F.col("workflow_id")]
         have = major_version(F.col("workflow_version"))
@@ -100,7 +103,7 @@ MAX_COORDINATE = 100_000.0
 
 
 def marks(rows: DataFrame, tool_shapes: DataFrame) -> DataFrame:
-    """``id, workflow_id, subject_id, volunteer, task, item, tool, shape, params, points, text`` of every readable mark.
+    """``id, workflow_id, subject_id, volunteer, task, item, tool, shape, params, points, text, variants`` of every readable mark.
 
     A mark names its tool or its shape; its geometry must be complete (see ``shape_params``). Marks inside combos
     count with the inner task. Null entries, other values and marks of unknown tools are left out.
@@ -119,7 +122,7 @@ def marks(rows: DataFrame, tool_shapes: DataFrame) -> DataFrame:
     known = named.where(mine).groupBy("id", "workflow_id", "subject_id", "volunteer", "task", "item").agg(F.min(F.struct("t", "s")).alias("k"), F.first("m").alias("m"))
     return known.select(
         "id", "workflow_id", "subject_id", "volunteer", "task", "item", F.col("k.t").alias("tool"), F.col("k.s").alias("shape"),
-        shape_params(F.col("k.s"), F.col("m")).alias("params"), "m.points", "m.text",
+        shape_params(F.col("k.s"), F.col("m")).alias("params"), "m.points", "m.text", "m.variants",
     ).where("params IS NOT NULL")
 
 
@@ -168,6 +171,32 @@ def bezier(points: Column, samples: int = 5) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), last), piece))
 
 
+def newly_retired(counts: DataFrame, new: DataFrame) -> DataFrame:
+    """``subject_id, workflow_id`` of ``counts`` with rows in ``new`` that were retired no earlier than the first of ``new``."""
+    keys = ["subject_id", "workflow_id"]
+    since = new.agg(F.min("created_at").alias("since"))
+    done = counts.where("retired_at IS NOT NULL").crossJoin(F.broadcast(since)).where("retired_at >= since")  # one row
+    return done.select(*keys).join(new.select(*keys).distinct(), keys, "left_semi")
+
+
+def within_image(marked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Marks without the lines and rectangles that reach beyond their image (``subject_id, height, width``); unknown sizes bound nothing."""
+    p = lambda i: F.get("params", F.lit(i))
+    beyond = (F.greatest(p(0), p(2)) > F.col("width")) | (F.greatest(p(1), p(3)) > F.col("height"))
+    out = marked.join(sizes.select("subject_id", "height", "width").where("subject_id IS NOT NULL").dropDuplicates(["subject_id"]), "subject_id", "left")
+    kept = ~F.col("shape").isin("line", "rectangle", "image") | ~F.coalesce(beyond, F.lit(False))
+    return out.where(kept).select(*marked.columns)
+
+
+def answers_order(workflows: DataFrame, question: str) -> DataFrame:
+    """``workflow_id, answer, pos``: the answers to a survey question in the order the workflow gives them, from 1."""
+    parsed = F.expr("try_variant_get(try_parse_json(tasks), '$', 'map<string, variant>')")
+    tasks = workflows.select(F.col("id").alias("workflow_id"), F.explode(parsed).alias("task", "t"))
+    order = F.expr(f"try_variant_get(t, '$.questions.{question}.answersOrder', 'array<string>')")
+    rows = tasks.select("workflow_id", F.posexplode(order).alias("pos", "answer"))
+    return rows.groupBy("workflow_id", "answer").agg((F.min("pos") + 1).alias("pos"))
+
+
 def saw_nothing(rows: DataFrame, marked: DataFrame, tool_shapes: DataFrame) -> DataFrame:
     """``workflow_id, subject_id, task, shape, volunteer`` of those who did a drawing task without marking a shape of it."""
     did = task_entries(rows).where("value IS NOT NULL").select("workflow_id", "subject_id", "task", "volunteer").distinct()

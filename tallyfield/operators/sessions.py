@@ -3,7 +3,7 @@
 Method: pointer doubling. Events are first folded into cells as long as the permitted pause, so all events of
 one key and cell belong together; each cell is linked to the cell before it where the step between them is
 within the pause; the pointers are then doubled by self-joins until every cell points to the first cell of its
-session. Every join and aggregation is keyed by (key, cell), so a key with a third of all rows is spread over
+session. Every join and grouping is keyed by (key, cell), so a key with a third of all rows is spread over
 all tasks and no task ever sorts or holds one key's events.
 """
 

@@ -25,7 +25,7 @@ PLAN_SCHEMA = "key_field string, key_value long, tasks array<int>"
 SPLIT, PACK = 2, 32
 
 
-def shard_plan(loads: DataFrame, tasks: int) -> list[tuple[str, int, list[int]]]:
+def shard_plan(loads: DataFrame, tasks: int) -> list[tuple[str, int | None, list[int]]]:
     """(key_field, key_value, tasks of its shards) for the keys worth placing; at most PACK * tasks of them.
 
     An empty table gives an empty plan.
@@ -34,36 +34,48 @@ def shard_plan(loads: DataFrame, tasks: int) -> list[tuple[str, int, list[int]]]
     if not total:
         return []
     fair = total / tasks
-    placed = loads.where((F.col("load") > fair / PACK) & F.col("key_value").isNotNull()).collect()
+    placed = loads.where(F.col("load") > fair / PACK).collect()
     pieces = []
     for r in placed:
         shards = max(1, math.ceil(r["load"] / (fair / SPLIT)))
         pieces += [(r["load"] / shards, r["key_field"], r["key_value"], n) for n in range(shards)]
     light = (total - sum(r["load"] for r in placed)) / tasks
     bins = [(light, t) for t in range(tasks)]
-    where: dict[tuple[str, int], list[int]] = {}
-    for load, field, value, _ in sorted(pieces, key=lambda p: (-p[0], p[1], p[2], p[3])):
+    where: dict[tuple[str, int | None], list[int]] = {}
+    for load, field, value, _ in sorted(pieces, key=lambda p: (-p[0], p[1], _order(p[2]), p[3])):
         least, t = heapq.heappop(bins)
         heapq.heappush(bins, (least + load, t))
         where.setdefault((field, value), []).append(t)
-    return [(f, v, t) for (f, v), t in sorted(where.items())]
+    return [(f, v, t) for (f, v), t in sorted(where.items(), key=lambda x: (x[0][0], _order(x[0][1])))]
 
 
-def assign(rows: DataFrame, plan: DataFrame, tasks: int, spread: Column) -> DataFrame:
-    """Adds ``_task``: the shard's task for placed keys (shard by hash of ``spread``), else a task by hash of the key.
+def _order(value: int | None) -> tuple[bool, int]:
+    """Null keys come last."""
+    return value is None, value or 0
+
+
+def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with the ``tasks`` of their key, where the plan has it; the null key is a key like any other.
 
     ``plan`` has at most PACK rows for each task, which bounds the broadcast.
     """
+    p = plan.toDF("_field", "_value_of", "tasks")
+    same = (rows["key_field"] == p["_field"]) & rows["key_value"].eqNullSafe(p["_value_of"])
+    return rows.join(F.broadcast(p), same, "left").drop("_field", "_value_of")
+
+
+def assign(rows: DataFrame, plan: DataFrame, tasks: int, spread: Column) -> DataFrame:
+    """Adds ``_task``: the shard's task for placed keys (shard by hash of ``spread``), else a task by hash of the key."""
     by_hash = F.pmod(F.xxhash64("key_field", "key_value"), F.lit(tasks)).cast("int")
     shard = F.pmod(F.xxhash64(spread), F.size("tasks")).cast("int")
-    joined = rows.join(F.broadcast(plan), ["key_field", "key_value"], "left")
+    joined = _planned(rows, plan)
     return joined.withColumn("_task", F.when(F.col("tasks").isNull(), by_hash).otherwise(F.get("tasks", shard))).drop("tasks")
 
 
 def replicate(side: DataFrame, plan: DataFrame, tasks: int) -> DataFrame:
     """``side`` (one row for each key) with ``_task``, once for each task that holds a shard of its key."""
     by_hash = F.array(F.pmod(F.xxhash64("key_field", "key_value"), F.lit(tasks)).cast("int"))
-    joined = side.join(F.broadcast(plan), ["key_field", "key_value"], "left")
+    joined = _planned(side, plan)
     return joined.withColumn("_task", F.explode(F.array_distinct(F.coalesce("tasks", by_hash)))).drop("tasks")
 
 
@@ -74,7 +86,8 @@ def per_key_results(
     """One row for each key: ``key_field, key_value, rows, members[, values], <columns of side>``.
 
     ``rows`` has ``key_field, key_value`` and ``member``; ``rows`` counts all rows, ``members`` the distinct
-    non-null members, ``values`` maps each non-null ``value`` to its rows. ``side`` has one row for each key and
+    non-null members, ``values`` maps each non-null ``value`` to its rows (for values of few kinds, such as the answers
+    to a question; a key's kinds make one row). ``side`` has one row for each key and
     is joined from the left. Rows with a null key form one key of their own; repeated rows count each time;
     an empty table gives an empty result. Columns of other names are ignored.
     """

@@ -23,7 +23,7 @@ def touched(history: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return history.join(new.select(*keys).distinct(), keys, "left_semi")
 
 
-def documents(results: DataFrame, keys: list[str], column: str = "aggregation") -> DataFrame:
+def documents(results: DataFrame, keys: list[str], column: str = "result") -> DataFrame:
     """``keys, <column>``: the other columns of each row as one JSON object, null fields left out."""
     rest = [c for c in results.columns if c not in keys]
     return results.select(*keys, F.to_json(F.struct(*rest)).alias(column))

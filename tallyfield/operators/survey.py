@@ -56,10 +56,31 @@ def follow_up_votes(votes: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("votes"))
 
 
-def how_many(follow_ups: DataFrame, order: list[str], question: str = "HWMN") -> DataFrame:
-    """Lowest, likeliest (ties: the lower), its share, and highest answer to a question with ordered answers."""
-    position = F.array_position(F.array(*(F.lit(x) for x in order)), F.col("answer"))
-    rows = follow_ups.where(F.col("question") == question).withColumn("pos", position).where("pos > 0")
+def report(votes: DataFrame, seen: DataFrame) -> DataFrame:
+    """``workflow_id, subject_id, species, num_users, pielou, share, votes, answers`` of each subject's likeliest species.
+
+    ``answers`` lists the counts of all follow-up answers as ``question=answer:votes``; null where nobody answered.
+    """
+    counts = species_votes(votes)
+    said = follow_up_votes(votes).groupBy(*SUBJECT, "species").agg(  # answers that the project's questions have
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("question", "answer", "votes"))), lambda a: F.concat(a["question"], F.lit("="), a["answer"], F.lit(":"), a["votes"])), " ").alias("answers")
+    )
+    top = top_species(counts, seen).join(pielou(counts, seen).select(*SUBJECT, "pielou"), SUBJECT)
+    return top.join(said, [*SUBJECT, "species"], "left").select(*SUBJECT, "species", "num_users", "pielou", "share", "votes", "answers")
+
+
+def top_answer(follow_ups: DataFrame) -> DataFrame:
+    """``workflow_id, subject_id, species, question, answer, share``: the likeliest answer (ties: the first by name) and its share of the answers."""
+    top = follow_ups.groupBy(*SUBJECT, "species", "question").agg(F.min(F.struct((-F.col("votes")).alias("v"), "answer")).alias("t"), F.sum("votes").alias("all"))
+    return top.select(*SUBJECT, "species", "question", "t.answer", (-F.col("t.v") / F.col("all")).alias("share"))
+
+
+def how_many(follow_ups: DataFrame, order: DataFrame, question: str = "HWMN") -> DataFrame:
+    """Lowest, likeliest (ties: the lower), its share, and highest answer to a question with ordered answers.
+
+    ``order`` has ``workflow_id, answer, pos``; answers that a workflow doesn't list are left out.
+    """
+    rows = follow_ups.where(F.col("question") == question).join(order, ["workflow_id", "answer"])
     return rows.groupBy(*SUBJECT, "species").agg(
         F.min_by("answer", "pos").alias("lowest"), F.max_by("answer", F.struct("votes", -F.col("pos"))).alias("likeliest"),
         (F.max("votes") / F.sum("votes")).alias("share"), F.max_by("answer", "pos").alias("highest"),

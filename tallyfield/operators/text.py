@@ -52,12 +52,20 @@ def lines(marks: DataFrame, spacing: float = 15.0) -> DataFrame:
                        without_tags(clean(F.col("text"))).alias("text")).where("text <> ''")
 
 
+def variants(marks: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """``workflow_id, subject_id, variant, volunteers``: spellings noted with marks by at least ``least`` of the ``known`` volunteers."""
+    each = marks.where("shape = 'text'").select("workflow_id", "subject_id", "volunteer", F.explode("variants").alias("v"))
+    each = each.select("workflow_id", "subject_id", "volunteer", F.btrim("v").alias("variant")).where("variant <> ''")
+    counts = each.join(known, "volunteer", "left_semi").groupBy("workflow_id", "subject_id", "variant").agg(F.count_distinct("volunteer").alias("volunteers"))
+    return counts.where(F.col("volunteers") >= least)
+
+
 def line_variants(rows: DataFrame) -> DataFrame:
     """``LINE, text, n``: how many volunteers wrote each text on a line."""
     return rows.groupBy(*LINE, "text").agg(F.count_distinct("volunteer").alias("n"))
 
 
-def consensus_lines(rows: DataFrame, share: float = 0.65, most: int = 64) -> DataFrame:
+def consensus_lines(rows: DataFrame, share: float = 0.65, most: int = 500) -> DataFrame:
     """``LINE, text, agreement, texts, volunteers``: characters voted on after aligning a line's texts.
 
     Equal texts are counted first, so a line that very many volunteers wrote is aligned from its variants. Lines with

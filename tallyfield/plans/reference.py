@@ -70,7 +70,7 @@ VOTES_SQL = f"""{LATEST_SQL}, {entries_sql("latest")}, {TASKS_SQL}, {BALLOTS_SQL
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.latest(table(spark, folder, "classifications"))
+    return ingest.latest(table(spark, folder, "classifications"), columns=["annotations"])
 
 
 def ballots(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,6 +80,11 @@ def ballots(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("id", "workflow_id", "subject_id", "task", "volunteer", "type", ingest.choices(F.col("value"), F.col("n_answers")).alias("choices"))
 
 
+def _most_answers(spark: SparkSession, folder: str) -> int:
+    """The largest number of answers to a question of the project."""
+    return ingest.workflow_tasks(table(spark, folder, "workflows")).agg(F.max("n_answers")).first()[0] or 0
+
+
 def counted(spark: SparkSession, folder: str) -> DataFrame:
     return classify.vote_count(ballots(spark, folder))
 
@@ -116,8 +121,9 @@ def classification_summary(spark, folder):
 @query(f"""WITH {VOTES_SQL} SELECT workflow_id, subject_id, task, {", ".join(f"round(coalesce(max(p) FILTER (answer = {a}), 0), 6) AS p_{a}" for a in range(6))},
     max(num_users) AS num_users FROM shares GROUP BY workflow_id, subject_id, task""")
 def classification_detail(spark, folder):
-    out = classify.detail(counted(spark, folder), list(range(6)))
-    return out.select(*classify.QUESTION, *(r6(F.col(f"p_{a}")).alias(f"p_{a}") for a in range(6)), "num_users")
+    answers = range(_most_answers(spark, folder))
+    out = classify.detail(counted(spark, folder), list(answers))
+    return out.select(*classify.QUESTION, *(r6(F.col(f"p_{a}")).alias(f"p_{a}") for a in answers), "num_users")
 
 
 @query(f"WITH {VOTES_SQL} SELECT workflow_id, subject_id, task, CASE WHEN coalesce(max(p) FILTER (answer = 0), 0) >= 0.6 THEN 1 ELSE 0 END AS label FROM shares GROUP BY workflow_id, subject_id, task")
@@ -279,7 +285,7 @@ def weighted_revote(spark, folder):
 @query(f"""WITH {PLURALITY_SQL}, b AS (SELECT true_label AS label, count(*) AS n FROM plurality GROUP BY ALL)
     SELECT CAST(l AS INT) AS label, greatest(1, CAST(floor(coalesce(n, 0) * 100.0 / (SELECT sum(n) FROM b)) AS INT)) AS prior FROM range(6) r(l) LEFT JOIN b ON b.label = l""")
 def ibcc_priors(spark, folder):
-    return reliability.prior_counts(votes(spark, folder), 6)
+    return reliability.prior_counts(votes(spark, folder), _most_answers(spark, folder))
 
 
 @query(f"""WITH {PLURALITY_SQL}, c AS (SELECT true_label, n.label, sum(n / CAST(total AS DOUBLE)) AS s FROM n JOIN a USING (item) JOIN plurality USING (item) GROUP BY ALL),
@@ -287,12 +293,12 @@ def ibcc_priors(spark, folder):
     SELECT CAST(i AS INT) AS true_label, CAST(j AS INT) AS label, greatest(1, CAST(floor(coalesce(s * 60 / total_s, 0) + 1e-9) AS INT)) AS count
     FROM range(6) x(i) CROSS JOIN range(6) y(j) LEFT JOIN c ON c.true_label = i AND c.label = j LEFT JOIN t ON t.true_label = i""")
 def ibcc_confusion(spark, folder):
-    return reliability.prior_confusion(votes(spark, folder), 6)
+    return reliability.prior_confusion(votes(spark, folder), _most_answers(spark, folder))
 
 
 @query()
 def hard_em(spark, folder):
-    return reliability.hard_em(votes(spark, folder), 6)
+    return reliability.hard_em(votes(spark, folder), _most_answers(spark, folder))
 
 
 @query(f"""WITH {PLURALITY_SQL}, s AS (SELECT round(n / CAST(total AS DOUBLE), 3) AS score, CASE WHEN label = true_label THEN 1 ELSE 0 END AS truth FROM n JOIN a USING (item) JOIN plurality USING (item)),
@@ -395,11 +401,12 @@ def species_follow_ups(spark, folder):
     return survey.follow_up_votes(survey.survey_votes(_survey(spark, folder)))
 
 
-@query(f"""WITH {SURVEY_SQL}, h AS (SELECT workflow_id, subject_id, species, answer, list_position(['1', '2', '35', '610'], answer) AS pos, count(*) AS votes FROM fu WHERE question = 'HWMN' GROUP BY ALL)
+@query(f"""WITH {SURVEY_SQL}, ordered AS (SELECT w.id AS workflow_id, list_transform(CAST(CAST(w.tasks AS JSON)->t.task->'questions'->'HWMN'->'answersOrder' AS JSON[]), lambda x: x->>'$') AS names FROM workflows w JOIN tasks t ON t.workflow_id = w.id WHERE t.type = 'survey'),
+    h AS (SELECT fu.workflow_id, subject_id, species, answer, list_position(o.names, answer) AS pos, count(*) AS votes FROM fu JOIN ordered o USING (workflow_id) WHERE question = 'HWMN' GROUP BY ALL)
     SELECT workflow_id, subject_id, species, arg_min(answer, pos) AS lowest, arg_max(answer, votes * 100 - pos) AS likeliest, round(max(votes) / CAST(sum(votes) AS DOUBLE), 6) AS share,
     arg_max(answer, pos) AS highest FROM h WHERE pos > 0 GROUP BY workflow_id, subject_id, species""")
 def how_many(spark, folder):
-    out = survey.how_many(survey.follow_up_votes(survey.survey_votes(_survey(spark, folder))), ["1", "2", "35", "610"])
+    out = survey.how_many(survey.follow_up_votes(survey.survey_votes(_survey(spark, folder))), ingest.answers_order(table(spark, folder, "workflows"), "HWMN"))
     return out.withColumn("share", r6(F.col("share")))
 
 
@@ -420,18 +427,6 @@ def _members(spark, folder, shapes: tuple[str, ...], kernel: str = "agglomerativ
     return markings.cluster_marks(marks(spark, folder).where(F.col("shape").isin(*shapes)), kernel)
 
 
-@query()
-def readable_marks(spark, folder):
-    return marks(spark, folder)
-
-
-@query()
-def saw_nothing_rows(spark, folder):
-    rows = latest(spark, folder)
-    shapes = ingest.tools(table(spark, folder, "workflows"))
-    return ingest.saw_nothing(rows, ingest.marks(rows, shapes), shapes)
-
-
 @query()
 def point_clusters(spark, folder):
     return markings.cluster_summary(_members(spark, folder, ("point",)))
@@ -452,16 +447,6 @@ def line_clusters(spark, folder):
     return markings.cluster_summary(_members(spark, folder, ("line",)))
 
 
-@query()
-def dbscan_clusters(spark, folder):
-    return markings.cluster_summary(_members(spark, folder, ("point",), "dbscan"))
-
-
-@query()
-def friends_clusters(spark, folder):
-    return markings.cluster_summary(_members(spark, folder, ("point",), "friends"))
-
-
 @query()
 def split_click_clusters(spark, folder):
     return markings.cluster_summary(_members(spark, folder, ("rectangle",), "split_clicks"))
@@ -497,46 +482,14 @@ def follow_up_votes(spark, folder):
     return classify.vote_count(rows, ["workflow_id", "subject_id", "task", "cluster", "follow_up"])
 
 
-@query()
-def marks_per_user(spark, folder):
-    return markings.marks_per_user(marks(spark, folder))
-
-
 @query()
 def polygon_consensus(spark, folder):
     return markings.polygon_consensus(marks(spark, folder))
 
 
-def _points(spark, folder, tool: int):
-    rows = marks(spark, folder).where((F.col("shape") == "point") & (F.col("tool") == tool))
-    return rows.select("workflow_id", "subject_id", F.concat_ws(":", "id", "item").alias("pid"), F.get("params", F.lit(0)).alias("x"), F.get("params", F.lit(1)).alias("y"))
-
-
-@query()
-def mutual_nearest_marks(spark, folder):
-    return evaluate.mutual_nearest(_points(spark, folder, 0), _points(spark, folder, 1), ["workflow_id", "subject_id"], 60.0)
-
-
-@query()
-def neighbour_smoothing(spark, folder):
-    return evaluate.kernel_mean(_points(spark, folder, 0), ["workflow_id", "subject_id"], 40.0, 15.0)
-
-
-@query()
-def rectangle_overlaps(spark, folder):
-    rows = marks(spark, folder).where("shape = 'rectangle'")
-    corner = {n: F.get("params", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))}
-    return evaluate.overlapping_rectangles(rows.select("subject_id", F.concat_ws(":", "id", "item").alias("pid"), *corner.values()), ["subject_id"])
-
-
 # ---- transcriptions ----
 
 
-@query()
-def transcription_lines(spark, folder):
-    return text.lines(marks(spark, folder))
-
-
 @query()
 def line_consensus(spark, folder):
     return text.consensus_lines(text.lines(marks(spark, folder)))
@@ -547,10 +500,10 @@ def connected_transcriptions(spark, folder):
     return text.connected_lines(marks(spark, folder))
 
 
-@query("""SELECT id, regexp_replace(replace(substring(display_name, 1, 200), ' ', '_'), '[^A-Za-z0-9_]', '', 'g')[1:50] AS name, levenshtein(login, coalesce(display_name, '')) AS edits FROM users""")
+@query("""SELECT id, regexp_replace(replace(display_name, ' ', '_'), '[^A-Za-z0-9_]', '', 'g')[1:50] AS name, levenshtein(login, coalesce(display_name, '')) AS edits FROM users""")
 def user_labels(spark, folder):
     users = table(spark, folder, "users")
-    return users.select("id", text.label_text(F.substring("display_name", 1, 200)).alias("name"), F.levenshtein("login", F.coalesce("display_name", F.lit(""))).alias("edits"))
+    return users.select("id", text.label_text(F.col("display_name")).alias("name"), F.levenshtein("login", F.coalesce("display_name", F.lit(""))).alias("edits"))
 
 
 # ---- joins, storing, sets ----
@@ -585,7 +538,3 @@ def user_display_names(spark, folder):
     return once.join(table(spark, folder, "users").withColumnRenamed("id", "user_id"), "user_id").groupBy("user_key", "display_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def result_documents(spark, folder):
-    out = classify.summary(counted(spark, folder))
-    return store.documents(out, classify.QUESTION)

@@ -14,8 +14,12 @@ def arrivals(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
 
 
 def without_repeats(stream: DataFrame, late: str = "3 days") -> DataFrame:
-    """Each id once, as far as repeats arrive within ``late`` of each other; rows without instant count as just arrived."""
-    at = stream.withColumn("arrived_at", F.coalesce("created_at", F.current_timestamp()))
+    """Each id once, as far as repeats arrive within ``late`` of each other.
+
+    The watermark follows the time of arrival (``arrived_at``, the batch's time where the stream has no such column),
+    so rows are never dropped for an old or missing ``created_at``.
+    """
+    at = stream if "arrived_at" in stream.columns else stream.withColumn("arrived_at", F.current_timestamp())
     return at.withWatermark("arrived_at", late).dropDuplicatesWithinWatermark(["id"])
 
 

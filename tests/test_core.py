@@ -5,17 +5,20 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyfield.functions.annotations import task_ballot, written_lines
 from tallyfield.functions.identity import user_key, version_rank
 from tallyfield.functions.text import words
-from tallyfield.operators import classify, evaluate, ingest, markings, reliability, scoring, store, text
+from tallyfield.kernels import cluster as kernels
+from tallyfield.operators import classify, evaluate, ingest, markings, reliability, scoring, store, survey, text
 from tallyfield.operators.dedup import last_write, one_per_id
-from tallyfield.operators.dewey import dewey_nodes, flat_tables
+from tallyfield.operators.dewey import dewey_nodes, flat_tables, load, parse_deep, walk
 from tallyfield.operators.pointers import roots
 from tallyfield.operators.sessions import sessions
-from tallyfield.operators.skew import per_key_results, shard_plan
+from tallyfield.operators.skew import PLAN_SCHEMA, assign, per_key_results, shard_plan
 
 GAP = 900
 
@@ -82,6 +85,17 @@ def test_a_hot_key_is_cut_and_tasks_are_level(spark):
     assert shard_plan(loads.limit(0), 8) == []
 
 
+def test_a_hot_null_key_is_cut_too(spark):
+    rows = [("k", None, f"u{n}", "x") for n in range(4000)] + [("k", n % 50, f"u{n}", "x") for n in range(4000)]
+    df = spark.createDataFrame(rows, "key_field string, key_value long, user_key string, other string")
+    loads = df.groupBy("key_field", "key_value").agg(F.count(F.lit(1)).alias("load"))
+    plan = spark.createDataFrame(shard_plan(loads, 8), PLAN_SCHEMA)
+    sizes = [r["count"] for r in assign(df, plan, 8, F.col("user_key")).groupBy("_task").count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) < 1500
+    got = {r["key_value"]: (r["rows"], r["members"]) for r in per_key_results(df, tasks=8).collect()}
+    assert got == {None: (4000, 4000), **{n: (80, 80) for n in range(50)}}
+
+
 def test_per_key_results_of_nothing(spark):
     assert per_key_results(spark.createDataFrame([], "key_field string, key_value long, user_key string")).collect() == []
 
@@ -113,8 +127,24 @@ def test_dewey_nodes_give_the_record_back(spark):
     rows = dewey_nodes(spark.createDataFrame([(1, json.dumps(record), 0), (2, None, 0)], "key long, j string, id int"), "key", "j").collect()
     assert {r["dewey"] for r in rows} == {"0", "0.0", "0.1", "0.1.0", "0.1.1", "0.2", "1", "1.0"}
     assert {r["schema_path"] for r in rows} == {"$.a", "$.a[]", "$.a[].b", "$.a[].c", "$.d", "$.d.e"}
-    deep = "[" * 3000 + "]" * 3000
-    assert dewey_nodes(spark.createDataFrame([(1, deep)], "key long, j string"), "key", "j").count() in (0, 2999)
+    for depth in (3000, 20_000):
+        deep = "[" * depth + "]" * depth
+        assert sum(1 for _ in walk(load(deep))) == depth - 1
+    twice = json.dumps([{"a": 1}])
+    for _ in range(9):
+        twice = json.dumps(twice)
+    assert dewey_nodes(spark.createDataFrame([(1, twice)], "key long, j string"), "key", "j").count() == 2
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x)))
+def test_deep_json_is_read_like_other_json(value):
+    assert parse_deep(json.dumps(value)) == value
+
+
+@pytest.mark.parametrize("bad", ["[", "[1,]", '{"a"}', "[1 2]", "]", "{1:2}", "", '{"a":1,}', "[1]]", "[,1]", '{"a":}'])
+def test_malformed_json_is_refused(bad):
+    with pytest.raises(ValueError):
+        parse_deep(bad)
 
 
 def test_roots(spark):
@@ -234,3 +264,44 @@ def test_shapes(spark):
     rows = [(s, json.dumps(m)) for s, ms in marks.items() for m in ms]
     df = spark.createDataFrame(rows, "s string, m string").select(ingest.shape_params(F.col("s"), F.from_json("m", ingest.MARK)).alias("p"))
     assert [r["p"] for r in df.collect()] == [[1, 2], None, None, [2, 3, 5, 1], None, [1, 1, 3, 4]]
+
+
+def test_overlap_groups_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    boxes = [(float(x), float(y), float(x + w), float(y + h)) for x, y, w, h in rng.uniform(1, 300, (40, 4)) * [3, 3, 0.3, 0.3]]
+    boxes += boxes[:5]
+    df = spark.createDataFrame([(1, i, *b) for i, b in enumerate(boxes)], "s int, pid int, x1 double, y1 double, x2 double, y2 double")
+    meets = lambda a, b: a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
+    edges = [(i, j) for i in range(len(boxes)) for j in range(i) if meets(boxes[i], boxes[j])]
+    size = {i: len(c) for c in kernels.components(len(boxes), edges) for i in c}
+    links = defaultdict(int)
+    for i, j in edges:
+        links[i] += 1
+        links[j] += 1
+    got = {r["pid"]: (r["group_size"], r["links"]) for r in evaluate.overlap_groups(df, ["s"]).collect()}
+    assert got == {i: (size[i], links[i]) for i in range(len(boxes))}
+    assert evaluate.overlap_groups(df.limit(0), ["s"]).collect() == []
+
+
+def test_marks_beyond_the_image(spark):
+    rows = [(1, "rectangle", [1.0, 1.0, 50.0, 50.0]), (1, "rectangle", [1.0, 1.0, 150.0, 50.0]), (1, "point", [500.0, 500.0]), (2, "line", [1.0, 1.0, 150.0, 50.0])]
+    sizes = spark.createDataFrame([(1, 100.0, 100.0), (2, None, None), (None, 1.0, 1.0)], "subject_id int, height double, width double")
+    got = ingest.within_image(spark.createDataFrame(rows, "subject_id int, shape string, params array<double>"), sizes).collect()
+    assert sorted((r["subject_id"], r["shape"], r["params"][-1]) for r in got) == [(1, "point", 500.0), (1, "rectangle", 50.0), (2, "line", 50.0)]
+
+
+def test_detail_summary_and_outliers_of_clusters(spark):
+    point = lambda i, u, t, x: (1, 9, "T", "point", 7, i, 0, u, t, [float(x), 0.0])
+    members = spark.createDataFrame([point(n, f"u{n}", int(n > 0), 60 if n == 7 else 0) for n in range(8)], "workflow_id int, subject_id long, task string, shape string, cluster long, id long, item int, volunteer string, tool int, params array<double>")
+    seen = spark.createDataFrame([(1, 9, "T", f"u{n}") for n in range(10)], "workflow_id int, subject_id long, task string, volunteer string")
+    keys = ["workflow_id", "subject_id", "task", "shape", "cluster"]
+    r = markings.detail(members, seen, keys).first()
+    assert (r["tool"], r["p_tool"], r["p_true_positive"], r["num_viewers"], r["centre"]) == (1, 0.875, 0.8, 10, [0.0, 0.0])
+    assert markings.summary(markings.detail(members, seen, keys), keys[:3]).first()["clusters"] == 1
+    assert markings.outliers(members, keys, 4.0).first()["ratio"] == 8.0
+
+
+def test_likeliest_follow_up_answer(spark):
+    rows = [(1, 2, "Z", "Q", "b", 3), (1, 2, "Z", "Q", "a", 3), (1, 2, "Z", "Q", "c", 2)]
+    df = spark.createDataFrame(rows, "workflow_id int, subject_id int, species string, question string, answer string, votes long")
+    assert [(r["answer"], r["share"]) for r in survey.top_answer(df).collect()] == [("a", 0.375)]

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from comparing import compare, connect
 
-from tallyfield.plans import problems, reference
+from tallyfield.plans import problems, reference, reports  # noqa: F401  (reports adds to reference's queries)
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = problems.QUERIES | reference.QUERIES, problems.SQL | reference.SQL

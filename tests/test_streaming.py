@@ -30,3 +30,14 @@ def test_readers(spark, tmp_path):
     regions = readers.regions_of_interest(spark, str(tmp_path / "roi.tsv"))
     points = spark.createDataFrame([("a", 50.0, 120.0), ("a", 50.0, 80.0), ("a", 500.0, 120.0), ("b", 1.0, 1.0)], "path string, x double, y double")
     assert [r["inside"] for r in readers.inside_region(points, regions).orderBy("path", "x", "y").collect()] == [False, True, False, True]
+
+
+def test_old_rows_are_kept_and_repeats_dropped(spark, tmp_path):
+    data = [(1, "2030-01-01"), (2, None), (3, "1999-01-01"), (1, "2030-01-01"), (3, "1999-01-01")]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n, (i, at) in enumerate(data):  # a file and a batch each
+        row = spark.createDataFrame([(i, None, "a", 1, "1.1", 1, None, "ip", None, "[]", None)], readers.CLASSIFICATIONS).withColumn("created_at", F.lit(at).cast("timestamp"))
+        row.coalesce(1).write.mode("append").parquet(path)
+    once = incremental.without_repeats(incremental.arrivals(spark, path, files=1))
+    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
