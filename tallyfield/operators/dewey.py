@@ -132,45 +132,76 @@ def dewey_nodes(rows: DataFrame, id_column: str, json_column: str) -> DataFrame:
     return picked.mapInArrow(label, NODE_SCHEMA).dropDuplicates(["id", "dewey"])
 
 
-def flatten(annotations, wanted: frozenset[str]) -> Iterator[tuple]:
-    """(level, dewey, parent, task, item_pos, child, value) of one record's tasks, items and follow-ups.
+#: What repeats in annotations: fields that hold lists, and fields that hold entries by name; where a list is expected, a
+#: single object in ``SINGLE`` counts as its only entry.
+LISTS, NAMED, SINGLE = ("value", "details"), ("answers",), ("value",)
+#: Which table the nodes of a schema path belong to.
+ENTRY_PATH = re.compile(r"\$\[\](\.value\[\])*")
+FOLLOW_UP_PATH = re.compile(r"\$\[\](\.value\[\])+(\.details\[\]|\.answers\.\*)")
+
+
+def repeated_nodes(record) -> Iterator[tuple[str, str, int, str | None, object]]:
+    """(label, schema path, ordinal, name, value) of everything that repeats in a record, parents first.
 
-    Ordinals count entries of the arrays (nulls too) and, for ``answers``, questions in their order; an array
-    nested in a task needs no level of its own, so labels read task[.item[.follow-up]], and a task inside a combo
-    is an item of the combo that has items in turn.
+    The label is a Dewey label over entries of lists and named entries: the fields of an object add no level of their
+    own, and a node's named entries are numbered behind its list entries. Cutting the last ordinal gives the parent.
     """
-    stack = [(e, str(n), None, None) for n, e in enumerate(annotations)] if isinstance(annotations, list) else []
-    stack.reverse()
+    stack = [(str(n), "$[]", n, None, x) for n, x in enumerate(record)][::-1] if isinstance(record, list) else []
     while stack:
-        entry, label, parent, pos = stack.pop()
-        if not isinstance(entry, dict) or "task" not in entry:
+        node = stack.pop()
+        yield node
+        label, path, _, _, value = node
+        if not isinstance(value, dict):
             continue
-        task = entry["task"]
-        task = task if isinstance(task, str) or task is None else json.dumps(task)
-        value = entry.get("value")
-        if "tasks" in wanted:
-            plain = None if isinstance(value, (list, dict)) or value is None else value if isinstance(value, str) else json.dumps(value)
-            yield "tasks", label, parent, task, pos, None, plain
-        inner = []
-        for n, item in enumerate(value if isinstance(value, list) else [value] if isinstance(value, dict) else []):
-            own = f"{label}.{n}"
-            if isinstance(item, dict) and "task" in item:
-                inner.append((item, own, label, n))
+        below, at = [], 0
+        for field in LISTS:
+            held = value.get(field)
+            if isinstance(held, dict) and field in SINGLE:
+                held = [held]
+            if isinstance(held, list):
+                first = at if field not in SINGLE else 0
+                below += [(f"{label}.{first + n}", f"{path}.{field}[]", n, None, x) for n, x in enumerate(held)]
+                at = first + len(held) if field not in SINGLE else at
+        for field in NAMED:
+            held = value.get(field)
+            if isinstance(held, dict):
+                below += [(f"{label}.{at + n}", f"{path}.{field}.*", n, name, x) for n, (name, x) in enumerate(held.items())]
+                at += len(held)
+        stack += reversed(below)
+
+
+def flatten(record, wanted: frozenset[str]) -> Iterator[tuple]:
+    """(level, dewey, parent, task, item_pos, child, value) of one record's tasks, items and follow-ups.
+
+    Nodes are grouped into tables by their schema path; each finds its parent's row, and through it the enclosing
+    task, by cutting its own label. A node whose parent isn't in the table it must be in gives no row.
+    """
+    tables: dict[str, str] = {}
+    tasks: dict[str, str | None] = {}
+    items: dict[str, tuple[str | None, int]] = {}
+    for label, path, n, name, value in repeated_nodes(record):
+        table = tables.get(path)
+        if table is None:
+            table = tables[path] = "entry" if ENTRY_PATH.fullmatch(path) else "follow-up" if FOLLOW_UP_PATH.fullmatch(path) else ""
+        parent = label.rpartition(".")[0]
+        if table == "entry" and isinstance(value, dict) and "task" in value:
+            if parent and parent not in tasks:
+                continue
+            said, task = value.get("value"), value["task"]
+            tasks[label] = task = task if isinstance(task, str) or task is None else json.dumps(task)
+            if "tasks" in wanted:
+                plain = None if isinstance(said, (list, dict)) or said is None else said if isinstance(said, str) else json.dumps(said)
+                yield "tasks", label, parent or None, task, n if parent else None, None, plain
+        elif table == "entry" and parent in tasks and value is not None:
+            items[label] = tasks[parent], n
+            if "items" in wanted:
+                yield "items", label, parent, tasks[parent], n, None, value if isinstance(value, str) else json.dumps(value)
+        elif table == "follow-up" and parent in items and "follow_ups" in wanted:
+            if name is None and not isinstance(value, dict):
                 continue
-            if "items" in wanted and item is not None:
-                yield "items", own, label, task, n, None, item if isinstance(item, str) else json.dumps(item)
-            if "follow_ups" in wanted and isinstance(item, dict):
-                details, answers = item.get("details"), item.get("answers")
-                if isinstance(details, list):
-                    for k, d in enumerate(details):
-                        if isinstance(d, dict):
-                            said = d.get("value")
-                            yield "follow_ups", f"{own}.{k}", own, task, n, str(k), None if said is None else json.dumps(said)
-                if isinstance(answers, dict):
-                    first = len(details) if isinstance(details, list) else 0
-                    for k, (question, said) in enumerate(answers.items()):
-                        yield "follow_ups", f"{own}.{first + k}", own, task, n, question, None if said is None else json.dumps(said)
-        stack += reversed(inner)
+            said = value.get("value") if name is None else value
+            task, pos = items[parent]
+            yield "follow_ups", label, parent, task, pos, str(n) if name is None else name, None if said is None else json.dumps(said)
 
 
 def flat_tables(rows: DataFrame, levels: tuple[str, ...] = ("tasks", "items", "follow_ups"), keep_values: bool = True) -> DataFrame:

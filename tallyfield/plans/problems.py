@@ -144,7 +144,23 @@ _ITEMS = f"""{ONCE_SQL}, top AS (SELECT id, unnest(CAST({_PLAIN} AS JSON[])) AS
       UNION ALL SELECT id, dewey || '.' || (k + CASE WHEN json_type(x->'details') = 'ARRAY' THEN json_array_length(x->'details') ELSE 0 END), dewey, task, item_pos, child FROM (
         SELECT id, dewey, task, item_pos, x, unnest(json_keys(x->'answers')) AS child, generate_subscripts(json_keys(x->'answers'), 1) - 1 AS k FROM items WHERE json_type(x->'answers') = 'OBJECT'))"""
 
+
+
+def _nodes_sql(source: str, column: str) -> str:
+    """Every node of a JSON column, level by level."""
+    inside = """unnest(CASE WHEN json_type(x) = 'OBJECT' THEN list_transform(json_keys(x), lambda k: {'name': k, 'x': x->k}) ELSE list_transform(TRY_CAST(x AS JSON[]), lambda e: {'name': CAST(NULL AS VARCHAR), 'x': e}) END) AS c,
+        generate_subscripts(CASE WHEN json_type(x) = 'OBJECT' THEN json_keys(x) ELSE list_transform(TRY_CAST(x AS JSON[]), lambda e: '') END, 1) - 1 AS k"""
+    step = "CASE WHEN c.name IS NULL THEN schema_path || '[]' ELSE schema_path || '.' || c.name END"
+    return f"""WITH RECURSIVE roots AS (SELECT id, CAST(CASE WHEN ltrim({column}) LIKE '"%' THEN CAST({column} AS JSON)->>'$' ELSE {column} END AS JSON) AS x, '$' AS schema_path FROM {source} WHERE {column} IS NOT NULL),
+        nodes AS (SELECT id, CAST(k AS VARCHAR) AS dewey, CAST(NULL AS VARCHAR) AS parent, {step} AS schema_path, k AS ordinal, c.name AS name, c.x AS x FROM (SELECT *, {inside} FROM roots)
+          UNION ALL SELECT id, dewey || '.' || k, dewey, {step}, k, c.name, c.x FROM (SELECT *, {inside} FROM nodes WHERE json_type(x) IN ('OBJECT', 'ARRAY')))
+        SELECT id, dewey, parent, schema_path, CAST(ordinal AS INT) AS ordinal, name, CASE json_type(x) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind,
+        CASE WHEN json_type(x) IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE x->>'$' END AS value FROM nodes"""
+
+
 SQL = {
+    "p5_workflow_nodes": _nodes_sql("(SELECT CAST(id AS BIGINT) AS id, tasks FROM workflows)", "tasks"),
+    "p5_metadata_nodes": _nodes_sql("subjects", "metadata"),
     "p2_found": f"WITH {_EVENTS} SELECT user_key, start_us, end_us FROM sittings",
     "p2_sessions": f"WITH {_EVENTS} SELECT user_key, start_us, end_us, end_us - start_us AS duration_us, events FROM sittings",
     "p4_found": f"""WITH {_KEYED.format(rest="1 AS one", source="classifications")} SELECT key_field, key_value FROM keyed WHERE key_value IS NOT NULL
