@@ -9,8 +9,11 @@ whose overlap is too short are dropped, and every remaining position is verified
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,41 +99,58 @@ def leaks(documents: DataFrame, items: DataFrame, settings: Settings = Settings(
     few = documents.where("text IS NOT NULL").select("doc_id", "text").join(held_by, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = once(few, "w", words(F.col("text"))).drop("text")
     checked = candidates.join(texts, "doc_id").join(item.withColumnRenamed("w", "v"), "item_id")
-    longest = F.array_max(F.transform("offsets", lambda o: _longest(F.col("w"), F.col("v"), o, settings)))
-    return once(checked, "r", longest).where(F.col("r.run") >= settings.passage).select(
-        "doc_id", "item_id", F.col("r.run").alias("passage"), F.col("r.changed").alias("changed")
-    )
-
-
-def _longest(w: Column, v: Column, o: Column, settings: Settings) -> Column:
-    """(run, changed) of the longest passage with item word q beside document word q + o.
-
-    The state holds where the run began and the places of its changed words within the last passage length.
+    out = checked.select("doc_id", "item_id", "offsets", "w", "v").mapInArrow(_verify(settings), "doc_id long, item_id long, passage int, changed int")
+    kinds = {f.name: f.dataType for f in checked.schema.fields}
+    return out.select(F.col("doc_id").cast(kinds["doc_id"]), F.col("item_id").cast(kinds["item_id"]), "passage", "changed")
+
+
+def _verify(settings: Settings):
+    """Candidates (``doc_id, item_id, offsets, w, v``) to the longest passage of each, where that is long enough."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, item = batch.column("w"), batch.column("v")
+            # equal words get equal numbers, so that whole stretches are compared at once
+            numbered = pa.concat_arrays([doc.flatten(), item.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            ends = [np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]) for x in (doc, item)]
+            words, rest = numbered[: ends[0][-1]], numbered[ends[0][-1] :]
+            found = []
+            for n, offsets in enumerate(batch.column("offsets").to_pylist()):
+                w, v = words[ends[0][n] : ends[0][n + 1]], rest[ends[1][n] : ends[1][n + 1]]
+                best = max((longest(w, v, o, settings) for o in offsets), default=(0, 0))
+                if best[0] >= settings.passage:
+                    found.append((n, *best))
+            rows, run, changed = zip(*found, strict=True) if found else ((), (), ())
+            at = pa.array(rows, pa.int64())
+            ids = [batch.column(c).take(at).cast(pa.int64()) for c in ("doc_id", "item_id")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(run, pa.int32()), pa.array(changed, pa.int32())], names=["doc_id", "item_id", "passage", "changed"])
+
+    return verify
+
+
+def longest(w: np.ndarray, v: np.ndarray, o: int, settings: Settings) -> tuple[int, int]:
+    """(words, changed ones) of the longest passage with item word q beside document word q + o.
+
+    It begins and ends with an equal word, has no two changed ones in a row and at most ``changed`` in any stretch of
+    ``passage`` words; only the changed places are gone through one by one.
     """
-    low, high = F.greatest(F.lit(0), -o), F.least(F.size(v), F.size(w) - o)
-    none = F.array().cast("array<int>")
-    start = F.struct(
-        F.lit(-1).alias("begin"), none.alias("recent"), F.lit(0).alias("changed"), F.lit(0).alias("best"), F.lit(0).alias("best_changed")
-    )
-
-    def step(s: Column, q: Column) -> Column:
-        same = F.get(v, q) == F.get(w, q + o)
-        running = s["begin"] >= 0
-        recent = F.filter(s["recent"], lambda c: c > q - settings.passage)
-        ends = F.exists(recent, lambda c: c == q - 1)  # a second changed word in a row
-        full = F.size(recent) >= settings.changed  # one too many: the run goes on behind its first recent change
-        moved = F.slice(F.array_append(recent, q), 2, settings.changed)
-        run = F.when(running, q - s["begin"] + 1).otherwise(1)
-        better = same & (run > s["best"])
-        go_on = running & ~same & ~ends
-        return F.struct(
-            F.when(same, F.when(running, s["begin"]).otherwise(q))
-            .when(go_on & full, F.get(recent, F.lit(0)) + 1).when(go_on, s["begin"]).otherwise(-1).cast("int").alias("begin"),
-            F.when(same, recent).when(go_on & full, moved).when(go_on, F.array_append(recent, q)).otherwise(none).alias("recent"),
-            F.when(same & running, s["changed"]).when(go_on & full, F.size(moved)).when(go_on, s["changed"] + 1).otherwise(0).alias("changed"),
-            F.when(better, run).otherwise(s["best"]).alias("best"),
-            F.when(better, F.when(running, s["changed"]).otherwise(0)).otherwise(s["best_changed"]).alias("best_changed"),
-        )
-
-    places = F.when(high > low, F.sequence(low, high - 1)).otherwise(none)
-    return F.aggregate(places, start, step, lambda s: F.struct(s["best"].alias("run"), s["best_changed"].alias("changed")))
+    low, high = max(0, -o), min(len(v), len(w) - o)
+    if high - low < settings.passage:
+        return 0, 0
+    differ = np.nonzero(v[low:high] != w[low + o : high + o])[0] + low
+    if high - low - len(differ) < settings.passage - settings.changed:
+        return 0, 0
+    begin, recent, before, best = -1, [], low - 1, (0, 0)
+    for q in [*differ.tolist(), high]:
+        if q > before + 1:
+            begin = before + 1 if begin < 0 else begin
+            best = max(best, (q - begin, int(np.searchsorted(differ, q) - np.searchsorted(differ, begin))))
+        if begin >= 0 and (not recent or recent[-1] != q - 1):
+            recent = [c for c in recent if c > q - settings.passage]
+            if len(recent) >= settings.changed:  # one too many: the run goes on behind its first recent change
+                begin, recent = recent[0] + 1, recent[1:]
+            recent.append(q)
+        else:  # a second changed word in a row
+            begin, recent = -1, []
+        before = q
+    return best
