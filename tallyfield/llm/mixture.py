@@ -29,9 +29,11 @@ from .truncation import plain_source
 @dataclass(frozen=True)
 class Settings:
     budget: int | None = None  # tokens; None: the largest total at which every source with documents has its share
+    budget_share: float | None = None  # in place of a budget: its part of all tokens of the sources with targets
     block_tokens: int = 20_000  # of an average block, unless that makes more than max_blocks
     max_blocks: int = 100_000
-    shard_tokens: int = 2_000_000
+    shard_tokens: int = 2_000_000  # of an average shard, but at least shard_blocks blocks
+    shard_blocks: int = 50
     seed: int = 20_210_301
     tokenizer_folder: str = FOLDER
     ranks: str = RANKS
@@ -104,7 +106,8 @@ def mixture(documents: DataFrame, targets: DataFrame, settings: Settings = Setti
     named = spark.createDataFrame(sorted((n, p, r) for n, (p, r) in wanted.items()), "source string, target_share double, max_repeats int")
     mixed = sizes.join(F.broadcast(named.select("source")), "source")
     available = {r["source"]: r["t"] for r in mixed.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    quota = quotas(available, wanted, s.budget)
+    budget = s.budget if s.budget_share is None else int(s.budget_share * sum(available.values()))
+    quota = quotas(available, wanted, budget)
     per_block = max(s.block_tokens, math.ceil(sum(available.values()) / s.max_blocks * 2))
     n_blocks = {n: max(1, math.ceil(available[n] / per_block)) for n in quota}
     if not quota:
@@ -117,7 +120,7 @@ def mixture(documents: DataFrame, targets: DataFrame, settings: Settings = Setti
         "doc_id", "source", "tokens", order.alias("o"), F.pmod(order, counts[F.col("source")]).cast("int").alias("block")
     )
     blocks = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("t")).collect()  # at most max_blocks
-    plan = _plan(blocks, available, quota, s)
+    plan = _plan(blocks, available, quota, per_block, s)
     uses = spark.createDataFrame(plan, "source string, block int, use int, shard int, room long")
     drawn = dealt.join(broadcast_if_small(uses, len(plan), s.broadcast_rows), ["source", "block"])
     whole = drawn.where("room IS NULL").drop("room")
@@ -137,8 +140,11 @@ def _shard_order(seed: int):
     return Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "use"), "doc_id", "use")
 
 
-def _plan(blocks, available: dict[str, int], quota: dict[str, int], s: Settings) -> list[tuple]:
-    """(source, block, use, shard, room) for every use of a block; ``room`` is set where only part of it fits."""
+def _plan(blocks, available: dict[str, int], quota: dict[str, int], per_block: int, s: Settings) -> list[tuple]:
+    """(source, block, use, shard, room) for every use of a block; ``room`` is set where only part of it fits.
+
+    Shards grow with the blocks, so there are at most 1/``shard_blocks`` as many as uses of blocks, whatever the corpus.
+    """
     sizes: dict[str, list[tuple[int, int]]] = {n: [] for n in quota}
     for r in blocks:
         sizes[r["source"]].append((r["block"], r["t"]))
@@ -152,7 +158,7 @@ def _plan(blocks, available: dict[str, int], quota: dict[str, int], s: Settings)
                 break
             uses[n].append((block, passes, None if size <= rest else rest))
             rest -= size
-    shards = max(1, math.ceil(sum(quota.values()) / s.shard_tokens))
+    shards = max(1, math.ceil(sum(quota.values()) / max(s.shard_tokens, s.shard_blocks * per_block)))
     rng = np.random.default_rng(s.seed)
     table = split(np.array([len(uses[n]) for n in sources], dtype=np.int64), shards, rng)
     plan = []

@@ -77,8 +77,8 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_budget_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Shares of a mixture of fixed size, for which some sources are too small whatever their repeats."""
-    return _mixture(spark, folder, budget=1_000_000).shares
+    """Shares of a mixture half as large as all sources with targets, for which some are too small whatever their repeats."""
+    return _mixture(spark, folder, budget_share=0.5).shares
 
 
 def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
