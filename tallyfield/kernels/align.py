@@ -133,21 +133,32 @@ def vote(rows: list[str], share: float = 0.65, weights: list[int] | None = None)
     return "".join(out), 1 - out.count(DISAGREE) / len(out) if out else 1.0
 
 
-def vote_inside(rows: list[str], least: int = 3) -> str:
-    """Like ``vote`` among those whose text covers the column; too few voters give a code of their own."""
-    out = []
+def vote_inside(rows: list[str], least: int = 3, weights: list[int] | None = None) -> str:
+    """Like ``vote`` among those whose text covers the column; fewer than ``least`` voters give a code of their own."""
+    out, weights = [], weights or [1] * len(rows)
     for column in zip(*(mark_outside(r) for r in rows), strict=True):
         counts: dict[str, int] = {}
-        for ch in column:
+        for ch, n in zip(column, weights, strict=True):
             if ch != OUTSIDE:
-                counts[ch] = counts.get(ch, 0) + 1
+                counts[ch] = counts.get(ch, 0) + n
         out.append(FEW if sum(counts.values()) < least else _decide(counts, 0.5, True))
     return "".join(out)
 
 
-def blocks(rows: list[str], least: int = 3) -> list[tuple[int, int]]:
+def own_agreement(rows: list[str], which: int) -> float:
+    """Share of columns in which all covering texts agree, between the first and last character of one of them."""
+    marked = [mark_outside(r) for r in rows]
+    inside = [i for i, ch in enumerate(marked[which]) if ch != OUTSIDE]
+    if not inside:
+        return 1.0
+    same = sum(len({r[i] for r in marked} - {OUTSIDE}) == 1 for i in inside)
+    return same / len(inside)
+
+
+def blocks(rows: list[str], least: int = 3, weights: list[int] | None = None) -> list[tuple[int, int]]:
     """(first, last) columns of runs that at least ``least`` texts cover; a last run of one column is dropped."""
-    covered = [sum(ch != OUTSIDE for ch in col) >= least for col in zip(*(mark_outside(r) for r in rows), strict=True)]
+    weights = weights or [1] * len(rows)
+    covered = [sum(n for ch, n in zip(col, weights, strict=True) if ch != OUTSIDE) >= least for col in zip(*(mark_outside(r) for r in rows), strict=True)]
     out, start = [], None
     for i, c in enumerate([*covered, False]):
         if c and start is None:

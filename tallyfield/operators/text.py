@@ -82,6 +82,25 @@ def consensus_lines(rows: DataFrame, share: float = 0.65, most: int = 500) -> Da
     return out.join(sizes, LINE).select(*LINE, "text", "agreement", "texts", "volunteers")
 
 
+def reduced_variants(variants: DataFrame, key: list[str], share: float = 0.65, most: int = 500) -> DataFrame:
+    """``key, text, n`` with at most as many rows for a key as it has chunks of ``most`` different texts.
+
+    Keys with no more than ``most`` texts keep them as they are; of others each chunk (by hash) becomes the text it
+    votes for, with all its volunteers.
+    """
+    sizes = variants.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("chunks"))
+    placed = durable(variants.join(sizes, key).withColumn("chunk", F.pmod(F.xxhash64("text"), F.col("chunks")).cast("int")))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in variants.select(*key).schema.fields)
+
+    def vote(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("text")
+        line, _ = align.vote(align.align(pdf["text"].tolist()), share, [int(n) for n in pdf["n"]])
+        return pdf[key].head(1).assign(text=line.replace(align.GAP, "").replace(align.DISAGREE, "?"), n=int(pdf["n"].sum()))
+
+    many = placed.where("chunks > 1").groupBy(*key, "chunk").applyInPandas(vote, f"{kinds}, text string, n long")
+    return placed.where("chunks = 1").select(*key, "text", "n").unionByName(many)
+
+
 def _voted(share: float):
     def voted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("text")

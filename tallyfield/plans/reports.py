@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, evaluate, ingest, markings, store, survey, text
+from ..operators import classify, evaluate, ingest, markings, reliability, store, survey, text, transcribe
 from ..operators.dewey import flat_tables
 from ..sources.tables import table
-from .reference import LATEST_SQL, SURVEY_SQL, TASKS_SQL, VOTES_SQL, _survey, counted, entries_sql, latest, marks, query, r6
+from .reference import FIRST_SQL, LATEST_SQL, PLURALITY_SQL, SURVEY_SQL, TASKS_SQL, VOTES_SQL, _survey, counted, entries_sql, latest, marks, query, r6, votes
 
 KEY = ["workflow_id", "subject_id", "task"]
 
@@ -269,6 +269,83 @@ def transcription_lines(spark, folder):
     return text.lines(marks(spark, folder)).withColumn("x", r6(F.col("x")))
 
 
+_LEAN = "atan2(abs(params[4] - params[3]), abs(params[2] - params[1]))"
+_PAGE_SQL = f"""{MARKS_SQL}, cleaned AS (SELECT *, {_CLEAN} AS said FROM marks WHERE shape = 'text'),
+    turned AS (SELECT *, CASE WHEN {_LEAN} < {transcribe.FLAT} OR (len(string_split(said, ' ')) = 1 AND {_LEAN} < {transcribe.LEANING!r}) THEN 'horizontal' ELSE 'vertical' END AS direction FROM cleaned WHERE said <> ''),
+    page AS (SELECT workflow_id, subject_id, CAST(round((CASE WHEN direction = 'horizontal' THEN params[3] + params[4] ELSE params[1] + params[2] END) / 2 / 15) AS INT) AS line, direction, volunteer, id, item, said AS text, params FROM turned)"""
+
+
+@query(f"WITH {_PAGE_SQL} SELECT workflow_id, subject_id, line, direction, CAST(volunteer AS VARCHAR) AS volunteer, id, item, text FROM page")
+def page_lines(spark, folder):
+    """Every transcription with its line and direction."""
+    return transcribe.page_lines(marks(spark, folder)).select(*KEY[:2], "line", "direction", "volunteer", "id", "item", "text")
+
+
+@query(f"""WITH {_PAGE_SQL} SELECT workflow_id, subject_id, line, direction, count(DISTINCT volunteer) AS volunteers, {", ".join(f"round(median(params[{i + 1}]), 6) AS {n}" for i, n in enumerate(("x1", "x2", "y1", "y2")))}
+    FROM page GROUP BY ALL HAVING count(DISTINCT volunteer) >= 3""")
+def line_places(spark, folder):
+    """Where the lines that three volunteers transcribed lie."""
+    rows = transcribe.page_lines(marks(spark, folder)).groupBy(*KEY[:2], "line", "direction")
+    return rows.agg(F.count_distinct("volunteer").alias("volunteers"), *(r6(F.median(c)).alias(c) for c in ("x1", "x2", "y1", "y2"))).where("volunteers >= 3")
+
+
+def _completed(spark, folder):
+    return transcribe.completed(transcribe.page_lines(marks(spark, folder)))
+
+
+@query()
+def completed_stretches(spark, folder):
+    return _completed(spark, folder)
+
+
+@query()
+def transcription_agreements(spark, folder):
+    return transcribe.own_agreements(transcribe.page_lines(marks(spark, folder)))
+
+
+@query()
+def transcribed_pages(spark, folder):
+    return transcribe.pages(_completed(spark, folder))
+
+
+@query()
+def page_documents(spark, folder):
+    known = table(spark, folder, "users").where("display_name IS NOT NULL").select(F.col("id").alias("volunteer"))
+    subjects = table(spark, folder, "subjects").select(F.col("id").alias("subject_id"), "metadata")
+    return transcribe.page_documents(_completed(spark, folder), text.variants(marks(spark, folder), known, 2), subjects)
+
+
+@query()
+def text_mark_clusters(spark, folder):
+    """Clusters of text marks by all four coordinates, of three volunteers or more."""
+    members = markings.cluster_marks(marks(spark, folder).where("shape = 'text'"), "principal")
+    return markings.cluster_summary(members).where("volunteers >= 3")
+
+
+@query()
+def polygon_areas(spark, folder):
+    return markings.polygon_areas(markings.polygon_consensus(marks(spark, folder)))
+
+
+# ---- votes over time and thresholds ----
+
+
+@query(f"""WITH {FIRST_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY "user") AS nth FROM votes)
+    SELECT item, min(label) AS label FROM n WHERE nth <= 3 GROUP BY item HAVING count(*) = 3 AND min(label) = max(label)""")
+def unanimous_first_votes(spark, folder):
+    """Items whose first three votes agree."""
+    return classify.running_majority(votes(spark, folder), "item", "user", "label", 3)
+
+
+@query(f"""WITH {PLURALITY_SQL}, s AS (SELECT floor(n / CAST(total AS DOUBLE) * 20 + 1e-9) AS b, CASE WHEN label = true_label THEN 1 ELSE 0 END AS truth FROM n JOIN a USING (item) JOIN plurality USING (item))
+    SELECT round(t / 20.0, 6) AS threshold, count(*) FILTER (truth = 1) AS true_positives, count(*) FILTER (truth = 0) AS false_positives FROM range(21) r(t) LEFT JOIN s ON s.b >= t GROUP BY t""")
+def threshold_sweep(spark, folder):
+    v = votes(spark, folder)
+    shares = classify.vote_distribution(v, "item", "label").join(reliability.plurality(v).withColumnRenamed("label", "true_label"), "item")
+    out = reliability.sweep_thresholds(shares.select(F.col("share").alias("score"), (F.col("label") == F.col("true_label")).cast("int").alias("truth")))
+    return out.withColumn("threshold", r6(F.col("threshold")))
+
+
 # ---- stored results and joins ----
 
 
