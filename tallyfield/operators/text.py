@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import align
 from ..kernels import cluster as kernels
-from ..session import durable
+from ..session import durable, spread
 from .pointers import components
 
 LINE = ["workflow_id", "subject_id", "line"]
@@ -76,7 +76,7 @@ def consensus_lines(rows: DataFrame, share: float = 0.65, most: int = 500) -> Da
     sizes = variants.groupBy(*LINE).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("chunks"), F.sum("n").alias("volunteers"), F.count(F.lit(1)).alias("texts"))
     placed = variants.join(sizes, LINE).withColumn("chunk", F.pmod(F.xxhash64("text"), F.col("chunks")).cast("int"))
     schema = "workflow_id int, subject_id long, line int, text string, n long, agreement double"
-    voted = durable(placed.groupBy(*LINE, "chunk").applyInPandas(_voted(share), schema).join(sizes, LINE))
+    voted = durable(spread(placed, *LINE, "chunk").applyInPandas(_voted(share), schema).join(sizes, LINE))
     several = voted.where("chunks > 1").select(*LINE, "text", "n", "agreement").groupBy(*LINE).applyInPandas(_voted(share), schema)
     out = voted.where("chunks = 1").select(*LINE, "text", "agreement").unionByName(several.select(*LINE, "text", "agreement"))
     return out.join(sizes, LINE).select(*LINE, "text", "agreement", "texts", "volunteers")
@@ -97,7 +97,7 @@ def reduced_variants(variants: DataFrame, key: list[str], share: float = 0.65, m
         line, _ = align.vote(align.align(pdf["text"].tolist()), share, [int(n) for n in pdf["n"]])
         return pdf[key].head(1).assign(text=line.replace(align.GAP, "").replace(align.DISAGREE, "?"), n=int(pdf["n"].sum()))
 
-    many = placed.where("chunks > 1").groupBy(*key, "chunk").applyInPandas(vote, f"{kinds}, text string, n long")
+    many = spread(placed.where("chunks > 1"), *key, "chunk").applyInPandas(vote, f"{kinds}, text string, n long")
     return placed.where("chunks = 1").select(*key, "text", "n").unionByName(many)
 
 
@@ -145,7 +145,7 @@ def connected_lines(marks: DataFrame, within: float = 10.0) -> DataFrame:
         rows = [(int(pdf["node"][i]), int(pdf["node"][c[0]])) for c in parts for i in c]
         return pd.DataFrame(rows, columns=["node", "component"])
 
-    found = banded.groupBy("workflow_id", "subject_id", "band").applyInPandas(join, "node long, component long")
+    found = spread(banded, "workflow_id", "subject_id", "band").applyInPandas(join, "node long, component long")
     least = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
     return text.join(least, "node").select("workflow_id", "subject_id", "id", "item", "component")
 

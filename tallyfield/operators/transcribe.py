@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import align
+from ..session import spread
 from .text import LINE, clean, reduced_variants, without_tags
 
 PAGE = ["workflow_id", "subject_id"]
@@ -65,7 +66,7 @@ def completed(lines: DataFrame, least: int = 3) -> DataFrame:
             out.append((*(head[c] for c in key), k, plain, align.render(voted, part), 1 - voted.count(align.DISAGREE) / len(voted), covering))
         return pd.DataFrame(out, columns=[*key, "block", "text", "rendered", "agreement", "volunteers"])
 
-    found = reduced_variants(variants, key).groupBy(*key).applyInPandas(stretch, STRETCH)
+    found = spread(reduced_variants(variants, key), *key).applyInPandas(stretch, STRETCH)
     return found.join(ends.drop("all"), key)
 
 
@@ -80,7 +81,7 @@ def own_agreements(lines: DataFrame) -> DataFrame:
         return pdf[[*key, "text", "n", "agreement"]]
 
     variants = lines.groupBy(*key, "text").agg(F.count_distinct("volunteer").alias("n"))
-    return reduced_variants(variants, key).groupBy(*key).applyInPandas(own, "workflow_id int, subject_id long, line int, direction string, text string, n long, agreement double")
+    return spread(reduced_variants(variants, key), *key).applyInPandas(own, "workflow_id int, subject_id long, line int, direction string, text string, n long, agreement double")
 
 
 def pages(stretches: DataFrame) -> DataFrame:

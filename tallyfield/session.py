@@ -65,6 +65,14 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread(df: DataFrame, *keys: str):
+    """``df`` grouped by ``keys`` for a Python kernel, over as many tasks as there are.
+
+    Left to itself the adaptive plan would put small rows into few tasks, however much work a group is.
+    """
+    return df.repartition(parallelism(df.sparkSession), *keys).groupBy(*keys)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks that one balanced stage should have."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
