@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyfield.kernels import cluster as kernels
 from tallyfield.operators import evaluate, markings, reliability, text
 from tallyfield.operators.pointers import components
-from tallyfield.plans import reference
+from tallyfield.plans import reference, reports
 
 FOLDER = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables here")
@@ -34,9 +34,9 @@ def test_point_queries_see_every_workflow(spark):
             if len(near):
                 w = np.exp(-near * near / 225)
                 smooth[(*key, a[0])] = (w * near).sum() / w.sum()
-    got = {(r["workflow_id"], r["subject_id"], r["left_id"], r["right_id"]) for r in reference.mutual_nearest_marks(spark, FOLDER).collect()}
+    got = {(r["workflow_id"], r["subject_id"], r["left_id"], r["right_id"]) for r in reports.mutual_nearest_marks(spark, FOLDER).collect()}
     assert got == pairs
-    rows = {(r["workflow_id"], r["subject_id"], r["pid"]): r["smooth"] for r in reference.neighbour_smoothing(spark, FOLDER).collect()}
+    rows = {(r["workflow_id"], r["subject_id"], r["pid"]): r["smooth"] for r in reports.neighbour_smoothing(spark, FOLDER).collect()}
     assert rows == pytest.approx(smooth) and 2102 in {k[0] for k in rows}
 
 
