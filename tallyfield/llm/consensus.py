@@ -11,29 +11,32 @@ volunteers reach, and is corrected by their own record. A volunteer who always g
 random or follows a ring therefore loses all weight, and a rare answer can win over a frequent one that is its
 usual mistake. ``Settings(by_truth=False)`` gives each ballot the log odds of its volunteer's accuracy instead.
 
-Ballots are laid out by volunteer, where they meet their weights; each round moves them to their subjects once, where
-they are summed and compared, and counts of equal outcomes back. A volunteer with more than a fair share of all
-ballots is cut into shards and the weights are copied to them; a subject with more than that is cut as well, and the
-sums of these few subjects (at most four for each task) are taken by themselves before each round.
+Ballots are laid out twice, as arrays: by volunteer, where they meet their weights, and by subject, where they are
+summed and compared. Both sides cut them into the same blocks in the same order, so that a round sends the weights of
+a block one way and the truths, as the others see them, back, without any key. A volunteer with more than a fair
+share of all ballots is cut into shards, whose counts meet on the driver; a subject with more than that is cut as
+well, and the sums of its shards go to all of them (at most four of either for each task).
 """
 
 from __future__ import annotations
 
-import json
 import math
+import pickle
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.session import durable, parallelism, release
 
 SUBJECT = ["workflow_id", "subject_id"]
-WEIGHTS = "user_key string, user_shard int, w int, own array<float>"
+PACKED = "at int, data binary"  # a row for each part of a layout
+SENT = "to int, at int, data binary"  # a block of ballots; ``at`` is the part it comes from, or NOTE
+NOTE = -1
 GRID = 2.0**18  # weights are multiples of 1/GRID, exact as floats; so sums don't depend on their order, and equal votes tie
 
 
@@ -69,14 +72,14 @@ class _Model:
         """Share of right answers that careful volunteers reach."""
         return float((self.prior[w] * np.diag(self.shared[w])).sum())
 
-    def base(self, most: int) -> list[list[float]]:
+    def base(self, most: int) -> np.ndarray:
         """Log prior of each possible truth in each workflow, padded to ``most`` answers; impossible ones get -1e18."""
         out = np.full((len(self.sizes), most), -1e18)
         for i, (w, k) in enumerate(self.sizes.items()):
             out[i, :k] = np.log(self.prior[w]) if self.shared and self.settings.by_truth else 0
-        return _even(out).tolist()
+        return _even(out)
 
-    def plain(self, most: int) -> list[list[float]]:
+    def plain(self, most: int) -> np.ndarray:
         """Weights of volunteers without a record, by truth and answer."""
         out, s = np.zeros((len(self.sizes), most, most)), self.settings
         for i, (w, k) in enumerate(self.sizes.items()):
@@ -86,16 +89,16 @@ class _Model:
                 out[i, :k, :k] = np.log(np.maximum(r * self.shared[w] + (1 - r) / k, 1e-4))
             else:
                 out[i, :k, :k] = np.eye(k) * _odds(np.array(s.prior_accuracy), k)
-        return _even(out).reshape(len(self.sizes), most * most).tolist()
+        return _even(out)
 
 
 def _even(x: np.ndarray) -> np.ndarray:
     return np.round(x * GRID) / GRID
 
 
-def _odds(accuracy: np.ndarray, k: int) -> np.ndarray:
+def _odds(accuracy: np.ndarray, k: np.ndarray | int) -> np.ndarray:
     a = np.clip(accuracy, 0.02, 0.98)
-    return np.log(a * max(k - 1, 1) / (1 - a))
+    return np.log(a * np.maximum(k - 1, 1) / (1 - a))
 
 
 def consensus(ballots: DataFrame, settings: Settings = Settings()) -> Consensus:
@@ -111,203 +114,378 @@ def consensus(ballots: DataFrame, settings: Settings = Settings()) -> Consensus:
     asked = votes.groupBy("workflow_id").agg(F.max("n_answers").alias("k"), F.max("task").alias("task"), F.count(F.lit(1)).alias("n")).collect()
     sizes = {r["workflow_id"]: r["k"] for r in sorted(asked)}  # a row for each workflow
     names = [(i, r["workflow_id"], r["task"]) for i, r in enumerate(sorted(asked))]
-    total, most, parts = sum(r["n"] for r in asked), max(sizes.values(), default=1), parallelism(spark)
-    fair = max(total / (4 * parts), 1)
-    laid = _laid(votes, spark.createDataFrame(names, "w int, workflow_id int, task string"), fair, parts).persist()
-    crowded = laid.where("hot IS NOT NULL").select("hot").distinct().count()
+    named = spark.createDataFrame(names, "w int, workflow_id int, task string")
+    users = durable(votes.groupBy("user_key").agg(F.count(F.lit(1)).alias("n")).withColumn("uid", F.monotonically_increasing_id()))
+    laid = _laid(votes, users, named, sum(r["n"] for r in asked), max(sizes.values(), default=1))
 
-    model = _Model(sizes, {w: np.full(k, 1 / k) for w, k in sizes.items()}, {}, s)
-    records = last = labels = None
-    rounds, settled, states = 0, not sizes, set()
+    state = _State(None, _Model(sizes, {w: np.full(k, 1 / k) for w, k in sizes.items()}, {}, s), {})
+    last = labels = None
+    rounds, settled, seen = 0, not sizes, set()
     while not settled:
-        found = durable(_records(_summed(laid, records, model, most, crowded), s, most))
-        shared, prior, state, now = _shared(found, list(sizes.items()), s)
-        settled = now == labels
-        state = (state, *((w, p.tobytes()) for w, p in sorted(prior.items())))
-        if settled or rounds >= s.max_rounds or state in states:  # records and prior decide all that follows
+        truths = durable(_truths(laid, state))
+        told = _told(laid, truths, state.model)
+        settled = told.labels == labels
+        mark = (told.mark, *((w, x.tobytes()) for w, x in sorted(told.prior.items())))
+        if settled or rounds >= s.max_rounds or mark in seen:  # records and prior decide all that follows
             break
-        states.add(state)
-        last, labels = (records, model), now
-        records, model = found, _Model(sizes, prior, shared, s)
+        seen.add(mark)
+        last, labels = state, told.labels
+        state = _State(truths, _Model(sizes, told.prior, told.shared, s), told.busy)
         rounds += 1
         release(spark)
-    scores, changed = durable(_answers(_summed(laid, records, model, most, crowded))), 0.0
+    scores, changed = durable(_answers(laid, state)), 0.0
     if not settled and last:
-        before = _answers(_summed(laid, *last, most, crowded)).select("w", "subject_id", F.col("label").alias("last"))
+        before = _answers(laid, last).select("w", "subject_id", F.col("label").alias("last"))
         changed = scores.join(before, ["w", "subject_id"]).agg(F.avg((F.col("label") != F.col("last")).cast("double"))).first()[0]
         if rounds >= s.max_rounds:
             warnings.warn(f"consensus: {changed:.2%} of the answers still change after {rounds} rounds", RuntimeWarning, stacklevel=2)
-    laid.unpersist()
-    return Consensus(_subjects(scores, votes, names, most, s), _volunteers(records, votes, s), rounds, changed)
+    accuracy = durable(_accuracy(laid, state)) if state.truths else None
+    laid.by_user.unpersist()
+    laid.by_subject.unpersist()
+    return Consensus(_subjects(scores, votes, names, laid.most, s), _volunteers(accuracy, users, s), rounds, changed)
 
 
-def _laid(votes: DataFrame, names: DataFrame, fair: float, parts: int) -> DataFrame:
-    """``w, subject_id, shard, hot, user_key, user_shard, user_shards, answer, head`` by volunteer.
+@dataclass(frozen=True)
+class _Layout:
+    """Ballots by volunteer and by subject, a row of arrays for each of ``parts`` (see ``_pack_users``, ``_pack_subjects``)."""
 
-    ``w`` numbers the workflows, ``hot`` the subjects with more than ``fair`` ballots; ``head`` marks one ballot of each subject.
-    """
-    heavy = lambda *keys: votes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fair).orderBy(*keys).collect()
-    pieces = lambda n: math.ceil(n / fair)
-    # at most all ballots over ``fair``, that is four rows for each task
-    subjects = [(r["workflow_id"], r["subject_id"], i, pieces(r["n"])) for i, r in enumerate(heavy(*SUBJECT))]
-    users = [(r["user_key"], pieces(r["n"])) for r in heavy("user_key")]
-    make = votes.sparkSession.createDataFrame
-    cut = lambda by, n: F.pmod(F.xxhash64(by), F.coalesce(n, F.lit(1))).cast("int")
-    heads = votes.groupBy(*SUBJECT).agg(F.min("user_key").alias("first"))
-    return (
-        votes.join(heads, SUBJECT).join(F.broadcast(names.select("w", "workflow_id")), "workflow_id")
-        .join(F.broadcast(make(subjects, "workflow_id int, subject_id long, hot int, shards int")), SUBJECT, "left")
-        .join(F.broadcast(make(users, "user_key string, user_shards int")), "user_key", "left")
-        .select(
-            "w", "subject_id", cut("user_key", F.col("shards")).alias("shard"), "hot", "user_key", cut("subject_id", F.col("user_shards")).alias("user_shard"),
-            F.coalesce("user_shards", F.lit(1)).alias("user_shards"), "answer", (F.col("user_key") == F.col("first")).alias("head"),
-        ).repartition(parts, "user_key", "user_shard", "w")
-    )
+    by_user: DataFrame
+    by_subject: DataFrame
+    parts: int
+    most: int  # answers of a workflow
+    hot: list[tuple]  # for each crowded subject: w, subject_id, ballots, parts that hold its shards; the first of these owns it
+    busy: frozenset[int]  # volunteers in shards
 
 
-def _constant(values: list, schema: str) -> Column:
-    """Numbers of the driver as one constant, kept out of the generated code so that it is compiled once for all rounds."""
-    return F.from_json(F.lit(json.dumps(values)), schema)
+@dataclass(frozen=True)
+class _State:
+    """What decides a round: truths as others see them (``SENT``, none at first), the model, and the records of volunteers in shards."""
 
+    truths: DataFrame | None
+    model: _Model
+    busy: dict[int, dict[tuple[int, int, int], int]]  # (w, truth, answer): ballots
 
-def _summed(laid: DataFrame, records: DataFrame | None, model: _Model, most: int, crowded: int) -> DataFrame:
-    """Ballots with ``o`` (what each adds to the score of every possible truth), ``z`` (its subject's scores) and ``n``.
 
-    Volunteers without a record in a workflow, whose ballots there all stand alone, weigh as ``plain``.
-    """
-    kept = ["w", "subject_id", "shard", "hot", "user_key", "user_shards", "answer", "head"]
-    if records is None:
-        rows = laid.select(*kept, *((F.col("answer") == t).cast("float").alias(f"o{t}") for t in range(most)))
-    else:
-        own = records.select("user_key", "user_shards", "accuracy", "record").mapInArrow(_weigh(model, most), WEIGHTS)
-        plain = F.get(_constant(model.plain(most), "array<array<float>>"), F.col("w"))
-        at = lambda t: F.lit(t * most) + F.col("answer")
-        rows = laid.join(own.hint("shuffle_hash"), ["user_key", "user_shard", "w"], "left").select(
-            *kept, *(F.coalesce(F.get("own", at(t)), F.get(plain, at(t))).alias(f"o{t}") for t in range(most))
+def _laid(votes: DataFrame, users: DataFrame, named: DataFrame, total: int, most: int) -> _Layout:
+    spark, parts = votes.sparkSession, parallelism(votes.sparkSession)
+    fair = max(total / (4 * parts), 1)
+    # a key for each part that Spark's own hash brings to another task
+    keys = spark.range(64 * parts).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.min("k").alias("k"))
+    keys = sorted(r["k"] for r in keys.collect())
+    place = lambda *by: F.get(F.lit(keys), F.pmod(F.xxhash64(*by), F.lit(len(keys))).cast("int"))
+    pieces = lambda n: F.ceil(n / F.lit(float(fair))).cast("int")
+    # at most all ballots over ``fair``, that is four rows for each task
+    heavy = votes.groupBy(*SUBJECT).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fair).join(F.broadcast(named), "workflow_id")
+    shards = F.transform(F.sequence(F.lit(0), pieces(F.col("n")) - 1), lambda i: place(F.col("w"), F.col("subject_id"), i))
+    hot = [tuple(r) for r in heavy.orderBy("w", "subject_id").select("w", "subject_id", "n", shards).collect()]
+    crowded = spark.createDataFrame([(w, x, h, math.ceil(n / fair)) for h, (w, x, n, _) in enumerate(hot)], "w int, subject_id long, hot int, shards int")
+    busy = frozenset(r["uid"] for r in users.where(F.col("n") > fair).select("uid").collect())
+    cut = lambda by, n: F.pmod(F.xxhash64(by), F.coalesce(n, F.lit(1))).cast("int")
+    rows = (
+        votes.join(users.select("user_key", "uid", F.when(F.col("n") > fair, pieces(F.col("n"))).alias("user_shards")), "user_key")
+        .join(F.broadcast(named.select("w", "workflow_id")), "workflow_id").join(F.broadcast(crowded), ["w", "subject_id"], "left")
+        .select(
+            place(F.col("uid"), cut("subject_id", F.col("user_shards"))).alias("u"), place(F.col("w"), F.col("subject_id"), cut("uid", F.col("shards"))).alias("s"),
+            "uid", "w", "subject_id", "answer", F.coalesce("hot", F.lit(-1)).alias("hot"),
         )
-    sums = [F.sum(f"o{t}") for t in range(most)]
-    whole = [[]] * crowded
-    if crowded:
-        hot = rows.where("hot IS NOT NULL").groupBy("hot").agg(F.count(F.lit(1)).cast("double").alias("n"), *(x.alias(f"z{t}") for t, x in enumerate(sums)))
-        for r in hot.collect():  # at most four for each task
-            whole[r["hot"]] = [r["n"], *(r[f"z{t}"] for t in range(most))]
-    total = F.get(_constant(whole, "array<array<double>>"), F.col("hot"))
-    here = Window.partitionBy("w", "subject_id", "shard")
-    base = F.get(_constant(model.base(most), "array<array<double>>"), F.col("w"))
-    rows = rows.select("*", F.count(F.lit(1)).over(here).alias("m"), *(x.over(here).alias(f"z{t}") for t, x in enumerate(sums)))
-    of = lambda t: F.when(F.col("hot").isNull(), F.col(f"z{t}")).otherwise(F.get(total, F.lit(t + 1))) + F.get(base, F.lit(t))
-    return rows.select(
-        "w", "subject_id", "user_key", "user_shards", "answer", "head", F.array(*(F.col(f"o{t}") for t in range(most))).alias("o"),
-        F.array(*(of(t) for t in range(most))).alias("z"), F.when(F.col("hot").isNull(), F.col("m")).otherwise(F.get(total, F.lit(0)).cast("long")).alias("n"),
     )
+    rows = durable(rows)
+    packed = lambda by, pack: rows.repartition(parts, by).groupBy(by).applyInArrow(pack, PACKED).repartition(parts, "at").persist()
+    return _Layout(packed("u", _pack_users), packed("s", _pack_subjects), parts, most, hot, busy)
+
+
+def _ballots(table: pa.Table, own: str, other: str) -> tuple[int, dict[str, np.ndarray]]:
+    """The part, and its ballots in the order that both sides know: blocks by the other side's part, in each by volunteer, workflow and subject."""
+    rows = {x: table[x].to_numpy() for x in table.column_names}
+    order = np.lexsort((rows["subject_id"], rows["w"], rows["uid"], rows[other]))
+    rows = {x: v[order] for x, v in rows.items()}
+    return int(rows[own][0]), rows
+
+
+def _row(at: int, **arrays: np.ndarray) -> pa.Table:
+    return pa.table({"at": pa.array([at], pa.int32()), "data": pa.array([pickle.dumps(arrays, 5)], pa.binary())})
+
+
+def _pack_users(table: pa.Table) -> pa.Table:
+    """``parts, sizes`` of the blocks; ``pair, answer, hot`` of each ballot; ``who, w`` of each pair of volunteer and workflow; ``uid``."""
+    at, x = _ballots(table, "u", "s")
+    uid, user = np.unique(x["uid"], return_inverse=True)
+    most = int(x["w"].max()) + 1
+    pairs, pair = np.unique(user * most + x["w"], return_inverse=True)
+    parts, sizes = np.unique(x["s"], return_counts=True)
+    return _row(at, parts=parts, sizes=sizes, pair=pair.astype(np.int32), answer=x["answer"], hot=x["hot"], who=pairs // most, w=pairs % most, uid=uid)
+
+
+def _pack_subjects(table: pa.Table) -> pa.Table:
+    """``parts, sizes`` of the blocks; ``subject`` of each ballot; ``w, subject_id, hot`` of each subject."""
+    at, x = _ballots(table, "s", "u")
+    order = np.lexsort((x["subject_id"], x["w"]))
+    w, subject = x["w"][order], x["subject_id"][order]
+    new = np.append(True, (np.diff(w) != 0) | (np.diff(subject) != 0))
+    number = np.empty(len(order), np.int32)
+    number[order] = np.cumsum(new) - 1
+    parts, sizes = np.unique(x["u"], return_counts=True)
+    return _row(at, parts=parts, sizes=sizes, subject=number, w=w[new], subject_id=subject[new], hot=x["hot"][order][new])
+
+
+def _received(own: pa.Table, sent: pa.Table, kind: type, width: int) -> tuple[dict[str, np.ndarray] | None, np.ndarray, list[bytes]]:
+    """A part's arrays, what was sent for its ballots, and the notes."""
+    rows = sorted(zip(sent["at"].to_pylist(), sent["data"].to_pylist(), strict=True))
+    notes, blocks = [d for at, d in rows if at == NOTE], [(at, d) for at, d in rows if at != NOTE]
+    if not len(own):
+        assert not blocks, "blocks for an empty part"
+        return None, np.zeros((0, width), kind), notes
+    x = pickle.loads(own["data"][0].as_py())
+    values = np.frombuffer(b"".join(d for _, d in blocks), kind).reshape(-1, width)
+    if [at for at, _ in blocks] != x["parts"].tolist() or len(values) != x["sizes"].sum():
+        raise ValueError("the two layouts of the ballots differ")
+    return x, values, notes
+
+
+def _sent(to: list, at: list, data: list) -> pa.Table:
+    return pa.table({"to": pa.array(to, pa.int32()), "at": pa.array(at, pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def _blocks(at: int, x: dict[str, np.ndarray], values: np.ndarray) -> tuple[list, list, list]:
+    ends = np.cumsum(x["sizes"])
+    return x["parts"].tolist(), [at] * len(ends), [values[e - n : e].tobytes() for e, n in zip(ends, x["sizes"], strict=True)]
+
+
+def _meet(laid: DataFrame, sent: DataFrame, parts: int, kernel, schema: str) -> DataFrame:
+    """``kernel`` on each part of a layout and what was sent to it; the layout stays where it lies."""
+    return laid.groupBy("at").cogroup(sent.repartition(parts, "to").groupBy("to")).applyInArrow(kernel, schema)
+
+
+def _to_users(laid: _Layout, state: _State) -> DataFrame:
+    nothing = laid.by_user.sparkSession.createDataFrame([], SENT)
+    return nothing if state.truths is None else state.truths
+
+
+def _weights(laid: _Layout, state: _State) -> DataFrame:
+    """What each ballot adds to the score of every possible truth (``SENT``), and for each crowded subject the sum of a part's ballots."""
+    model, most, first = state.model, laid.most, state.truths is None
+    plain, shards = model.plain(most) if not first else None, [h[3] for h in laid.hot]
+    busy = {u: _own(np.zeros(len(c), int), *_cells(c), 1, model, most) for u, c in state.busy.items() if c}
+
+    def weigh(key: tuple, own: pa.Table, sent: pa.Table) -> pa.Table:
+        if not len(own):
+            return _sent([], [], [])
+        if first:
+            x = pickle.loads(own["data"][0].as_py())
+            o = (x["answer"][:, None] == np.arange(most)).astype(np.float32)
+        else:
+            x, truth, _ = _received(own, sent, np.int32, 1)
+            told = np.nonzero(truth[:, 0] >= 0)[0]
+            pair = x["pair"][told]
+            who, w = x["who"], x["w"]
+            table = plain[w].astype(np.float32)
+            if len(told):
+                user, i, found = _own(who[pair], w[pair], truth[told, 0], x["answer"][told], np.ones(len(told)), len(x["uid"]), model, most)
+                table[np.searchsorted(who * len(model.sizes) + w, user * len(model.sizes) + i)] = found
+            for u in np.nonzero(np.isin(x["uid"], list(busy)))[0]:
+                _, i, found = busy[int(x["uid"][u])]
+                for p in np.nonzero(who == u)[0]:
+                    table[p] = found[i == w[p]][0] if (i == w[p]).any() else plain[w[p]]
+            o = table[x["pair"], :, x["answer"]]
+        to, at, data = _blocks(own["at"][0].as_py(), x, np.ascontiguousarray(o))
+        for h in np.unique(x["hot"][x["hot"] >= 0]).tolist():
+            note = pickle.dumps((h, o[x["hot"] == h].sum(0, dtype=float)))
+            for part in sorted(set(shards[h])):
+                to, at, data = [*to, part], [*at, NOTE], [*data, note]
+        return _sent(to, at, data)
+
+    return _meet(laid.by_user, _to_users(laid, state), laid.parts, weigh, SENT)
+
+
+def _scored(own: pa.Table, sent: pa.Table, base: np.ndarray, hot: list[tuple]) -> tuple[dict | None, np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """A part's arrays, what its ballots add, scores and ballots of its subjects, and scores of crowded ones."""
+    most = base.shape[1]
+    x, o, notes = _received(own, sent, np.float32, most)
+    crowded: dict[int, np.ndarray] = {}
+    for h, z in map(pickle.loads, notes):
+        crowded[h] = crowded.get(h, 0) + z
+    crowded = {h: z + base[hot[h][0]] for h, z in crowded.items()}
+    if x is None:
+        return x, o, np.zeros((0, most)), np.zeros(0, int), crowded
+    z = np.stack([np.bincount(x["subject"], weights=o[:, t], minlength=len(x["w"])) for t in range(most)], 1) + base[x["w"]]
+    n = np.bincount(x["subject"], minlength=len(x["w"]))
+    for i in np.nonzero(x["hot"] >= 0)[0]:
+        z[i], n[i] = crowded[x["hot"][i]], hot[x["hot"][i]][2]
+    return x, o, z, n, crowded
+
+
+def _labels(at: int, x: dict | None, z: np.ndarray, n: np.ndarray, crowded: dict, hot: list[tuple]) -> list[np.ndarray]:
+    """``w, subject_id, n, label`` of the subjects that a part owns."""
+    mine = [h for h in sorted(crowded) if hot[h][3][0] == at]
+    last = [np.array([v(h) for h in mine], np.int64) for v in (lambda h: hot[h][0], lambda h: hot[h][1], lambda h: hot[h][2], lambda h: crowded[h].argmax())]
+    if x is None:
+        return last
+    cold = x["hot"] < 0
+    return [np.concatenate([a[cold], b]) for a, b in zip((x["w"], x["subject_id"], n, z.argmax(1)), last, strict=True)]
+
+
+def _truths(laid: _Layout, state: _State) -> DataFrame:
+    """For each ballot the truth as the others on its subject see it, or -1 for a subject's only one; and a note on the labels of each part."""
+    base, hot, sizes = state.model.base(laid.most), laid.hot, list(state.model.sizes.values())
+
+    def compare(key: tuple, own: pa.Table, sent: pa.Table) -> pa.Table:
+        at = key[0].as_py()
+        x, o, z, n, crowded = _scored(own, sent, base, hot)
+        w, subject, _, label = _labels(at, x, z, n, crowded, hot)
+        note = pickle.dumps((np.bincount(w * max(sizes) + label, minlength=len(sizes) * max(sizes)), _hash(w, subject, label)))
+        to, come, data = [at], [NOTE], [note]
+        if x is not None:
+            truth = np.where(n[x["subject"]] >= 2, (z[x["subject"]] - o).argmax(1), -1).astype(np.int32)
+            to, come, data = (a + b for a, b in zip((to, come, data), _blocks(at, x, truth), strict=True))
+        return _sent(to, come, data)
+
+    return _meet(laid.by_subject, _weights(laid, state), laid.parts, compare, SENT)
+
+
+def _answers(laid: _Layout, state: _State) -> DataFrame:
+    """``w, subject_id, n, label`` of every subject."""
+    base, hot = state.model.base(laid.most), laid.hot
 
+    def answer(key: tuple, own: pa.Table, sent: pa.Table) -> pa.Table:
+        w, subject, n, label = _labels(key[0].as_py(), *(lambda x, o, z, n, c: (x, z, n, c))(*_scored(own, sent, base, hot)), hot)
+        return pa.table({"w": w.astype(np.int32), "subject_id": subject.astype(np.int64), "n": n.astype(np.int64), "label": label.astype(np.int32)})
 
-def _best(z: Column) -> Column:
-    return (F.array_position(z, F.array_max(z)) - 1).cast("int")
+    return _meet(laid.by_subject, _weights(laid, state), laid.parts, answer, "w int, subject_id long, n long, label int")
 
 
-def _answers(summed: DataFrame) -> DataFrame:
-    """``w, subject_id, n, label`` of every subject."""
-    return summed.where("head").select("w", "subject_id", "n", _best(F.col("z")).alias("label"))
+def _hash(*columns: np.ndarray) -> int:
+    """Of a set of rows, whatever their order."""
+    x = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        x = x * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+    return int(x.sum(dtype=np.uint64)) if len(x) else 0
 
 
-def _records(summed: DataFrame, settings: Settings, most: int) -> DataFrame:
-    """``user_key, user_shards, accuracy, record``; record: (w, truth as the others see it, answer, label, ballots, mark).
+def _counts(x: dict[str, np.ndarray], truth: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """``user, w, truth, answer, n`` of a part's ballots; those that stand alone have truth -1."""
+    cell, n = np.unique((x["pair"].astype(np.int64) * (most + 1) + truth + 1) * most + x["answer"], return_counts=True)
+    rest, answer = np.divmod(cell, most)
+    pair, truth = np.divmod(rest, most + 1)
+    return x["who"][pair], x["w"][pair], truth - 1, answer, n
 
-    The truth is null for a subject's only ballot. ``label`` is the consensus where the ballot is its subject's head,
-    and ``mark`` a hash of these labels.
-    """
-    others = F.array(*(F.get("z", F.lit(t)) - F.get("o", F.lit(t)) for t in range(most)))
-    seen = summed.select(
-        "user_key", "user_shards", "w", "subject_id", "answer", F.when(F.col("n") >= 2, others).alias("others"), F.when(F.col("head"), _best(F.col("z"))).alias("label")
-    ).select(
-        "user_key", "user_shards", "w", "answer", "label", _best(F.col("others")).alias("truth"),
-        F.when(F.col("label").isNotNull(), F.xxhash64("w", "subject_id", "label")).alias("mark"),
-    )
-    # combined before it is shuffled, so that a volunteer with very many ballots is few rows from here on
-    cells = seen.groupBy("user_key", "user_shards", "w", "truth", "answer", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("mark").alias("mark"))
-    hits = F.sum(F.when(F.col("truth") == F.col("answer"), F.col("n")).otherwise(0))
-    told = F.sum(F.when(F.col("truth").isNotNull(), F.col("n")).otherwise(0))
-    p, m = settings.prior_accuracy, settings.prior_ballots
-    return cells.groupBy("user_key", "user_shards").agg(
-        ((hits + p * m) / (told + m)).alias("accuracy"), F.collect_list(F.struct("w", "truth", "answer", "label", "n", "mark")).alias("record")
-    )
 
+def _accuracies(users: int, user: np.ndarray, truth: np.ndarray, answer: np.ndarray, n: np.ndarray, settings: Settings) -> np.ndarray:
+    """Smoothed leave-one-out accuracy of each volunteer."""
+    p, m = settings.prior_accuracy, settings.prior_ballots
+    hits, told = (np.bincount(user, weights=n * c, minlength=users) for c in (truth == answer, truth >= 0))
+    return (hits + p * m) / (told + m)
 
-def _shared(records: DataFrame, sizes: list[tuple[int, int]], settings: Settings) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], frozenset, int]:
-    """How often each answer is given to each truth (accurate volunteers count more) and how often each is the consensus, for each workflow.
 
-    And fingerprints of all records and of all consensus answers.
-    """
-    shared, prior = {}, {w: np.ones(k) for w, k in sizes}
-    for w, k in sizes:
+@dataclass(frozen=True)
+class _Told:
+    shared: dict[int, np.ndarray]
+    prior: dict[int, np.ndarray]
+    busy: dict[int, dict[tuple[int, int, int], int]]
+    mark: int  # fingerprint of all records
+    labels: int  # fingerprint of all consensus answers
+
+
+def _told(laid: _Layout, truths: DataFrame, model: _Model) -> _Told:
+    """How often each answer is given to each truth (accurate volunteers count more) and how often each is the consensus, for each workflow."""
+    most, busy, settings = laid.most, laid.busy, model.settings
+
+    def count(key: tuple, own: pa.Table, sent: pa.Table) -> pa.Table:
+        x, truth, notes = _received(own, sent, np.int32, 1)
+        cells, mark, held = {}, 0, []
+        if x is not None:
+            user, w, t, a, n = _counts(x, truth[:, 0], most)
+            apart = np.isin(x["uid"], list(busy))[user]
+            held = list(zip(*(v[apart].tolist() for v in (x["uid"][user], w, t, a, n)), strict=True))
+            weight = np.round(_accuracies(len(x["uid"]), user, t, a, n, settings) ** 2 * GRID)[user] * n
+            use = ~apart & (t >= 0)
+            cell, at = np.unique((w[use].astype(np.int64) * most + t[use]) * most + a[use], return_inverse=True)
+            cells = dict(zip(cell.tolist(), np.bincount(at, weights=weight[use], minlength=len(cell)).tolist(), strict=True))
+            mark = _hash(*(v[~apart] for v in (x["uid"][user], w, t, a, n)))
+        return pa.table({"data": pa.array([pickle.dumps((cells, mark, held, [pickle.loads(d) for d in notes]))], pa.binary())})
+
+    sums, mark, records, labels, heads = {}, 0, {u: {} for u in busy}, 0, 0
+    for r in _meet(laid.by_user, truths, laid.parts, count, "data binary").toLocalIterator():  # for each part, workflows times answers squared
+        cells, part, held, notes = pickle.loads(r["data"])
+        mark += part
+        for c, x in cells.items():
+            sums[c] = sums.get(c, 0.0) + x
+        for u, *cell, n in held:
+            records[u][tuple(cell)] = records[u].get(tuple(cell), 0) + n
+        for counted, x in notes:
+            heads, labels = heads + counted, labels + x
+    for u, record in sorted(records.items()):
+        w, t, a, n = _cells(record)
+        weight = np.round(_accuracies(1, np.zeros(len(n), int), t, a, n, settings)[0] ** 2 * GRID) * n
+        for i in np.nonzero(t >= 0)[0]:
+            c = int((w[i] * most + t[i]) * most + a[i])
+            sums[c] = sums.get(c, 0.0) + float(weight[i])
+        mark += _hash(np.full(len(n), u), w, t, a, n)
+    shared, prior = {}, {}
+    for i, (w, k) in enumerate(model.sizes.items()):
         rest = (1 - settings.prior_accuracy) / max(k - 1, 1)
         shared[w] = settings.shared_record * (np.full((k, k), rest) + np.eye(k) * (settings.prior_accuracy - rest))
-    cells = records.select("user_key", (F.col("accuracy") ** 2).alias("a"), F.inline("record")).groupBy("w", "truth", "answer", "label")
-    prints, labels = [], 0
-    weight = F.sum(F.round(F.col("a") * F.col("n") * GRID))
-    for r in cells.agg(weight.alias("s"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("user_key", "n")).alias("h"), F.bit_xor("mark").alias("m")).collect():  # workflows times answers cubed
-        w = sizes[r["w"]][0]
-        if r["truth"] is not None:
-            shared[w][r["truth"], r["answer"]] += r["s"] / GRID
-        if r["label"] is not None:
-            prior[w][r["label"]] += r["n"]
-            labels ^= r["m"]
-        prints.append((w, r["truth"], r["answer"], r["label"], r["n"], r["h"]))
-    return {w: c / c.sum(1, keepdims=True) for w, c in shared.items()}, {w: p / p.sum() for w, p in prior.items()}, frozenset(prints), labels
-
-
-def _weigh(model: _Model, most: int):
-    """Batches of ``_records`` to ``WEIGHTS``: for each volunteer and workflow with a record, the weight of every answer for every truth."""
+        for t in range(k):
+            for a in range(k):
+                shared[w][t, a] += sums.get((i * most + t) * most + a, 0.0) / GRID
+        prior[w] = 1.0 + heads.reshape(len(model.sizes), most)[i, :k]
+    told = {u: {c: n for c, n in r.items() if c[1] >= 0} for u, r in records.items()}
+    return _Told({w: c / c.sum(1, keepdims=True) for w, c in shared.items()}, {w: p / p.sum() for w, p in prior.items()}, told, mark % 2**64, labels % 2**64)
+
+
+def _cells(record: dict[tuple[int, int, int], int]) -> tuple[np.ndarray, ...]:
+    rows = np.array([(*c, n) for c, n in sorted(record.items())], np.int64).reshape(-1, 4)
+    return tuple(rows.T)
+
+
+def _accuracy(laid: _Layout, state: _State) -> DataFrame:
+    """``uid, accuracy`` of every volunteer."""
+    most, busy, settings, spark = laid.most, laid.busy, state.model.settings, laid.by_user.sparkSession
+
+    def measure(key: tuple, own: pa.Table, sent: pa.Table) -> pa.Table:
+        x, truth, _ = _received(own, sent, np.int32, 1)
+        if x is None:
+            return pa.table({"uid": pa.array([], pa.int64()), "accuracy": pa.array([], pa.float64())})
+        user, _, t, a, n = _counts(x, truth[:, 0], most)
+        mine = ~np.isin(x["uid"], list(busy))
+        return pa.table({"uid": x["uid"][mine], "accuracy": _accuracies(len(x["uid"]), user, t, a, n, settings)[mine]})
+
+    cut = []
+    for u, record in state.busy.items():
+        _, t, a, n = _cells(record)
+        cut.append((u, float(_accuracies(1, np.zeros(len(n), int), t, a, n, settings)[0])))
+    return _meet(laid.by_user, state.truths, laid.parts, measure, "uid long, accuracy double").unionByName(spark.createDataFrame(cut, "uid long, accuracy double"))
+
+
+def _own(who: np.ndarray, w: np.ndarray, t: np.ndarray, a: np.ndarray, n: np.ndarray, users: int, model: _Model, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Volunteer, workflow and the weights of every answer for every truth, for each pair of them in a record."""
     s, names = model.settings, list(model.sizes)
-    size = np.array([model.sizes[w] for w in names])
+    size = np.array([model.sizes[x] for x in names])
     flat, chance, even = np.zeros((len(names), most, most)), np.zeros((len(names), most)), np.zeros((len(names), most))
-    for i, w in enumerate(names):
+    for i, x in enumerate(names):
         k = size[i]
-        flat[i, :k, :k], chance[i, :k], even[i, :k] = model.shared[w], model.prior[w], 1 / k
-    care = np.array([model.care(w) for w in names])
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("record")
-            cells = lists.flatten()
-            if not len(cells):
-                continue
-            owner = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            told = cells.field("truth").is_valid().to_numpy(zero_copy_only=False)
-            if not told.any():
-                continue
-            w, t, a, n = (cells.field(c).filter(pa.array(told)).to_numpy(zero_copy_only=False) for c in ("w", "truth", "answer", "n"))
-            owner = owner[told]
-            # only the workflows that a volunteer took part in
-            pair, row = np.unique(owner * len(names) + w, return_inverse=True)
-            who, i = pair // len(names), pair % len(names)
-            record = np.bincount((row * most + t) * most + a, weights=n, minlength=len(pair) * most * most).reshape(-1, most, most)
-            given = record.sum(1)
-            total = given.sum(1)
-            habit = (given + 2 * even[i]) / (total[:, None] + 2)
-            of = lambda v: np.bincount(who, weights=v, minlength=len(batch)) / np.maximum(np.bincount(who, weights=total, minlength=len(batch)), 1)
-            best, luck = of(total * care[i]), of(total * (habit * chance[i]).sum(1))
-            accuracy = batch.column("accuracy").to_numpy(zero_copy_only=False)
-            if s.by_truth:
-                r = np.clip((accuracy - luck) / np.maximum(best - luck, 0.05), 0.02, 0.98)[who][:, None, None]
-                mixed = r * flat[i] + (1 - r) * habit[:, None, :]
-                chances = (record + s.own_record * mixed) / (record.sum(2, keepdims=True) + s.own_record)
-                own = np.log(np.maximum(chances, 1e-4))
-            else:
-                own = np.eye(most)[None] * np.array([_odds(accuracy[u], size[j]) for u, j in zip(who, i, strict=True)])[:, None, None]
-            # once for each shard of the volunteer
-            shards = batch.column("user_shards").to_numpy(zero_copy_only=False)[who]
-            place = np.repeat(np.arange(len(pair)), shards)
-            shard = np.arange(len(place)) - np.repeat(np.cumsum(shards) - shards, shards)
-            values = pa.array(_even(own[place]).ravel().astype(np.float32))
-            offsets = pa.array(np.arange(len(place) + 1, dtype=np.int32) * most * most)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("user_key").take(pa.array(who[place])), pa.array(shard.astype(np.int32)), pa.array(i[place].astype(np.int32)), pa.ListArray.from_arrays(offsets, values)],
-                names=["user_key", "user_shard", "w", "own"],
-            )
-
-    return weigh
+        flat[i, :k, :k], chance[i, :k], even[i, :k] = model.shared[x], model.prior[x], 1 / k
+    care = np.array([model.care(x) for x in names])
+    pair, row = np.unique(who * len(names) + w, return_inverse=True)  # only the workflows that a volunteer took part in
+    hits = np.bincount(who, weights=n * (t == a), minlength=users)
+    told = np.bincount(who, weights=n, minlength=users)
+    accuracy = (hits + s.prior_accuracy * s.prior_ballots) / (told + s.prior_ballots)
+    who, i = pair // len(names), pair % len(names)
+    record = np.bincount((row * most + t) * most + a, weights=n, minlength=len(pair) * most * most).reshape(-1, most, most)
+    given = record.sum(1)
+    total = given.sum(1)
+    habit = (given + 2 * even[i]) / (total[:, None] + 2)
+    of = lambda v: np.bincount(who, weights=v, minlength=users) / np.maximum(told, 1)
+    best, luck = of(total * care[i]), of(total * (habit * chance[i]).sum(1))
+    if s.by_truth:
+        r = np.clip((accuracy - luck) / np.maximum(best - luck, 0.05), 0.02, 0.98)[who][:, None, None]
+        mixed = r * flat[i] + (1 - r) * habit[:, None, :]
+        chances = (record + s.own_record * mixed) / (record.sum(2, keepdims=True) + s.own_record)
+        own = np.log(np.maximum(chances, 1e-4))
+    else:
+        own = np.eye(most)[None] * _odds(accuracy[who], size[i])[:, None, None]
+    return who, i, _even(own).astype(np.float32)
 
 
 def _subjects(scores: DataFrame, votes: DataFrame, names: list[tuple], most: int, settings: Settings) -> DataFrame:
@@ -337,10 +515,7 @@ def _subjects(scores: DataFrame, votes: DataFrame, names: list[tuple], most: int
     )
 
 
-def _volunteers(records: DataFrame | None, votes: DataFrame, settings: Settings) -> DataFrame:
-    cast = votes.groupBy("user_key").agg(F.count(F.lit(1)).alias("ballots"))
-    if records is None:
-        return cast.select("user_key", "ballots", F.lit(settings.prior_accuracy).alias("accuracy"))
-    return cast.join(records.select("user_key", "accuracy"), "user_key", "left").select(
-        "user_key", "ballots", F.coalesce("accuracy", F.lit(settings.prior_accuracy)).alias("accuracy")
-    )
+def _volunteers(accuracy: DataFrame | None, users: DataFrame, settings: Settings) -> DataFrame:
+    if accuracy is None:
+        return users.select("user_key", F.col("n").alias("ballots"), F.lit(settings.prior_accuracy).alias("accuracy"))
+    return users.join(accuracy, "uid", "left").select("user_key", F.col("n").alias("ballots"), F.coalesce("accuracy", F.lit(settings.prior_accuracy)).alias("accuracy"))

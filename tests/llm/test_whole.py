@@ -39,6 +39,26 @@ def test_rounds_go_on_until_no_answer_changes(spark):
         assert consensus.consensus(ballots, consensus.Settings(max_rounds=1)).changed > 0
 
 
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    executors = sc.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_a_round_sends_weights_and_truths_without_keys(spark):
+    """Four bytes for each possible truth and four back, besides what doesn't depend on the rounds."""
+    rows, _ = crowd(seed=5, subjects=1500, spam=30, honest=300)
+    ballots = spark.createDataFrame(rows, BALLOT)
+    cost = {}
+    for rounds in (1, 4):
+        before = shuffled(spark)
+        with pytest.warns(RuntimeWarning, match="still change"):
+            consensus.consensus(ballots, consensus.Settings(max_rounds=rounds)).subjects.collect()
+        cost[rounds] = shuffled(spark) - before
+    assert 0 < (cost[4] - cost[1]) / 3 < 24 * len(rows)
+
+
 def groups_by_brute_force(texts, least_share=0.25, least_shared=4.0):
     """Root of each record: every record is held against all denser ones. Without stock phrases; ids and texts are unique."""
     words = {i: t.split() for i, t in texts.items()}
