@@ -406,7 +406,7 @@ def _told(laid: _Layout, truths: DataFrame, model: _Model) -> _Told:
         return pa.table({"data": pa.array([pickle.dumps((cells, mark, held, [pickle.loads(d) for d in notes]))], pa.binary())})
 
     sums, mark, records, labels, heads = {}, 0, {u: {} for u in busy}, 0, 0
-    for r in _meet(laid.by_user, truths, laid.parts, count, "data binary").toLocalIterator():  # for each part, workflows times answers squared
+    for r in _meet(laid.by_user, truths, laid.parts, count, "data binary").collect():  # for each part, workflows times answers squared
         cells, part, held, notes = pickle.loads(r["data"])
         mark += part
         for c, x in cells.items():
