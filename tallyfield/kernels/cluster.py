@@ -52,6 +52,171 @@ def ward(points: np.ndarray) -> list[tuple[int, int, float, int]]:
     return merges
 
 
+def in_turn(work, jobs: int, shared) -> list:
+    """Results of ``work(shared, job)`` for all jobs, one after the other."""
+    return [work(shared, k) for k in range(jobs)]
+
+
+def ward_rows(points: np.ndarray, run=in_turn, tile: int = 256, whole: int = 3000, axes: int = 12) -> list[tuple[int, int, float, int]]:
+    """Merges of ``ward(pairwise(points))``, children before parents, without the square matrix in memory.
+
+    Two clusters that are each other's nearest merge whatever happens elsewhere, so clusters are put into tiles by their
+    mean row's coordinates on a few orthonormal axes, and merged within a tile as long as nothing outside can be nearer:
+    a distance on the axes is never more than the full one. This is repeated with new tiles, larger ones where few
+    could merge, until one tile holds all. Rows are made from the points in pieces; equal points merge first. Time
+    grows with the square of the points, memory in proportion to them. ``run`` does the jobs of a round, see ``in_turn``.
+    """
+    n = len(points)
+    spots, at, count = np.unique(points, axis=0, return_inverse=True, return_counts=True)
+    at, merges, nodes, size = at.ravel(), [], np.full(len(spots), -1), np.zeros(len(spots))
+    for i in range(n):
+        s = at[i]
+        if nodes[s] >= 0:
+            merges.append((*sorted((int(nodes[s]), i)), 0.0, int(size[s]) + 1))
+        nodes[s] = i if nodes[s] < 0 else n + len(merges) - 1
+        size[s] += 1
+    own, low = np.arange(len(spots)), _on_axes(spots, count, axes, run) if len(spots) > whole else np.zeros((len(spots), 1))
+    while len(nodes) > 1:
+        order = np.argsort(own, kind="stable")
+        starts = np.searchsorted(own[order], np.arange(len(nodes) + 1))
+        middle = np.add.reduceat(low[order] * count[order, None], starts[:-1], axis=0) / size[:, None]
+        tiles = _tiles(middle, min(whole, tile * len(spots) // len(nodes)) if len(nodes) > whole else len(nodes))
+        boxes = np.array([[middle[t].min(0), middle[t].max(0)] for t in tiles]), np.array([size[t].min() for t in tiles])
+        into, before = np.arange(len(nodes)), len(nodes)
+        for t, found in zip(tiles, run(_merges_of_tile, len(tiles), (spots, count, order, starts, size, middle, tiles, boxes)), strict=True):
+            for a, b, h in found:
+                a, b = t[a], t[b]
+                i, j = sorted((int(nodes[a]), int(nodes[b])))
+                size[a], into[b] = size[a] + size[b], a
+                merges.append((i, j, h, int(size[a])))
+                nodes[a] = n + len(merges) - 1
+        while (into[into] != into).any():
+            into = into[into]
+        kept, number = np.unique(into, return_inverse=True)
+        own, nodes, size = number.ravel()[own], nodes[kept], size[kept]
+        if len(nodes) > 0.75 * before:
+            tile, whole = tile * 2, max(whole, tile * 2)
+    return merges
+
+
+def _merges_of_tile(shared, k: int) -> list[tuple[int, int, float]]:
+    """Merges within tile ``k``, by places in it."""
+    spots, count, order, starts, size, middle, tiles, boxes = shared
+    inside = [order[starts[c] : starts[c + 1]] for c in tiles[k]]
+    gaps = _squares(spots, count, np.concatenate(inside), np.cumsum([0, *map(len, inside[:-1])]), size[tiles[k]])
+    return _nearest_merges(gaps, size[tiles[k]], *_outside(k, tiles, boxes, middle, size))
+
+
+def _distances(some: np.ndarray, rows: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """Distances of ``some`` (down) to ``rows`` (across); ``room`` is two flat arrays to work in."""
+    shape = len(some), len(rows)
+    total, gap = np.empty((2, *shape)) if room is None else room[:, : shape[0] * shape[1]].reshape(2, *shape)
+    for k in range(rows.shape[1]):
+        to = gap if k else total
+        np.subtract(rows[:, k], some[:, k, None], out=to)
+        to *= to
+        if k:
+            total += gap
+    return np.sqrt(total, out=total)
+
+
+def _on_axes(spots: np.ndarray, count: np.ndarray, axes: int, run) -> np.ndarray:
+    """Coordinates of all spots' rows (of distances to all marks) on orthonormal axes fitted to some of the rows."""
+    n, root = len(spots), np.sqrt(count)
+    some = _distances(spots[np.linspace(0, n - 1, 64).astype(int)], spots)
+    mean = some.mean(0)
+    _, _, vt = np.linalg.svd((some - mean) * root, full_matrices=False)
+    parts = np.array_split(np.arange(n), max(1, n // 2000))
+    return np.concatenate(run(_part_on_axes, len(parts), (spots, mean, np.ascontiguousarray((vt[:axes] * root).T), parts)))
+
+
+def _part_on_axes(shared, k: int) -> np.ndarray:
+    spots, mean, to, parts = shared
+    step = max(1, 1_000_000 // len(spots))
+    return np.concatenate([(_distances(spots[parts[k][i : i + step]], spots) - mean) @ to for i in range(0, len(parts[k]), step)])
+
+
+def _tiles(middle: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places cut at the median of the widest coordinate until no part has more than ``most``."""
+    out, stack = [], [np.arange(len(middle))]
+    while stack:
+        part = stack.pop()
+        if len(part) <= most:
+            out.append(part)
+            continue
+        part = part[np.argsort(middle[part, np.argmax(np.ptp(middle[part], axis=0))], kind="stable")]
+        stack += [np.sort(part[len(part) // 2 :]), np.sort(part[: len(part) // 2])]
+    return out
+
+
+def _squares(spots: np.ndarray, count: np.ndarray, inside: np.ndarray, starts: np.ndarray, size: np.ndarray, block: int = 1024) -> np.ndarray:
+    """Squared distances between the mean rows of clusters whose spots lie one after the other in ``inside``."""
+    m, n, share = len(starts), len(spots), count[inside] / np.repeat(size, np.diff([*starts, len(inside)]))
+    rows, step = np.asfortranarray(spots[inside]), max(1, 60_000 // len(inside))
+    gram, means, room = np.zeros((m, m)), np.empty((block, m)), np.empty((2, len(inside) * step))
+    for k in range(0, n, block):
+        end = min(k + block, n)
+        for a in range(k, end, step):
+            b = min(a + step, end)
+            far = _distances(spots[a:b], rows, room)
+            if len(inside) > m:
+                far *= share
+                np.add.reduceat(far, starts, axis=1, out=means[a - k : b - k])
+            else:
+                means[a - k : b - k] = far
+        part = means[: end - k]
+        part -= part.mean(1)[:, None]
+        part *= np.sqrt(count[k:end])[:, None]
+        gram += part.T @ part
+    own = np.diag(gram)
+    return np.maximum(own[:, None] + own - 2 * gram, 0)
+
+
+def _outside(k: int, tiles: list[np.ndarray], boxes, middle: np.ndarray, size: np.ndarray, near: int = 30):
+    """For the clusters of tile ``k``, what Ward's distances are at least: to each cluster of near tiles (with its size), and to all others."""
+    (edges, least), mine = boxes, tiles[k]
+    at, s = middle[mine], size[mine, None]
+    others = np.delete(np.arange(len(tiles)), k)
+    reach = np.maximum(np.maximum(edges[others, 0] - edges[k, 1], edges[k, 0] - edges[others, 1]), 0)
+    others = others[np.argsort((reach**2).sum(1) * least[others], kind="stable")]
+    rest, far = others[near:], np.full(len(mine), np.inf)
+    for some in (rest[i : i + 200] for i in range(0, len(rest), 200)):
+        gap = np.maximum(np.maximum(edges[some, 0] - at[:, None], at[:, None] - edges[some, 1]), 0)
+        far = np.minimum(far, ((gap**2).sum(2) * 2 * s * least[some] / (s + least[some])).min(1))
+    by = np.concatenate([tiles[o] for o in others[:near]]) if len(others) else np.zeros(0, int)
+    a, b, w = at - at.mean(0), middle[by] - at.mean(0), size[by]
+    square = np.maximum((a**2).sum(1)[:, None] * (1 - 1e-9) + (b**2).sum(1) * (1 - 1e-9) - 2 * a @ b.T, 0)
+    return square * 2 * s * w / (s + w), w, far * (1 - 1e-9)
+
+
+def _nearest_merges(gaps: np.ndarray, size: np.ndarray, bound: np.ndarray, weight: np.ndarray, far: np.ndarray) -> list[tuple[int, int, float]]:
+    """Merges (i, j into i, height) of each other's nearest, as long as ``bound`` and ``far`` keep everything outside farther."""
+    size, far = size.copy(), far.copy()
+    d = gaps * 2 * size[:, None] * size / (size[:, None] + size)
+    np.fill_diagonal(d, np.inf)
+    limit, out = np.minimum(bound.min(1, initial=np.inf), far), []
+    near = d.argmin(1)
+    while True:
+        i = np.nonzero((near[near] == np.arange(len(d))) & (np.arange(len(d)) < near))[0]
+        h = d[i, near[i]]
+        i = i[np.isfinite(h) & (h <= limit[i]) & (h <= limit[near[i]])]
+        if not len(i):
+            return out
+        gone = np.concatenate([i, near[i]])
+        for a, b in zip(i, near[i], strict=True):
+            h, sa, sb = d[a, b], size[a], size[b]
+            out.append((int(a), int(b), float(np.sqrt(h))))
+            new = ((sa + size) * d[a] + (sb + size) * d[b] - size * h) / (sa + sb + size)
+            new[[a, b]] = np.inf
+            d[a], d[:, a] = new, new
+            d[b], d[:, b] = np.inf, np.inf
+            bound[a] = ((sa + weight) * bound[a] + (sb + weight) * bound[b] - weight * h) / (sa + sb + weight)
+            far[a], size[a] = min(far[a], far[b]), sa + sb
+            limit[a] = min(bound[a].min(initial=np.inf), far[a])
+        again = np.nonzero(np.isin(near, gone))[0]
+        near[again] = d[again].argmin(1)
+
+
 def _find(label: dict[int, int], i: int) -> int:
     while label[i] != i:
         i = label[i]
@@ -78,16 +243,19 @@ def cut_by_user(merges, users: list) -> list[list[int]]:
     return sorted((sorted(c) for c in closed), key=lambda c: c[0])
 
 
-def agglomerate(points: np.ndarray, users: list, rows: bool = True) -> list[list[int]]:
+def agglomerate(points: np.ndarray, users: list, rows: bool = True, merges=None) -> list[list[int]]:
     """Clusters of marks without a user twice; marks that are all by different users are one cluster.
 
-    With ``rows``, linkage runs on the rows of the distance matrix, else on the points.
+    With ``rows``, linkage runs on the rows of the distance matrix, else on the points. ``merges`` are those of
+    ``ward_rows`` if they are known already.
     """
     if len(points) == 0:
         return []
     if len(set(users)) == len(users):
         return [list(range(len(users)))]
-    return cut_by_user(ward(pairwise(points) if rows else points), users)
+    if merges is None:
+        merges = ward(pairwise(points) if rows else points)
+    return cut_by_user(merges, users)
 
 
 def components(n: int, edges) -> list[list[int]]:
@@ -207,25 +375,54 @@ def medoids(points: np.ndarray, users: list, k: int, rounds: int = 100) -> list[
     return sorted((g for g in groups if g), key=lambda g: g[0])
 
 
-def merge_split_clicks(clusters: list[list[int]], points: np.ndarray, users: list, within: float = 20.0, least: int = 2, rounds: int = 100) -> list[list[int]]:
-    """Merges the nearest two clusters that share at most one user, again and again; of a shared user the first mark stays."""
+def merge_split_clicks(clusters: list[list[int]], points: np.ndarray, users: list, within: float = 20.0, least: int = 2) -> list[list[int]]:
+    """Merges the nearest two clusters that share at most one user, again and again; of a shared user the first mark stays.
+
+    Ends when no two clusters can be merged. Each cluster knows its nearest partner among those after it; after a merge
+    only the partners that it touches are looked for again.
+    """
     clusters = [list(c) for c in clusters]
-    for _ in range(rounds):
-        best = None
-        centre = [np.median(points[c], axis=0) for c in clusters]
-        for i in range(len(clusters)):
-            for j in range(i + 1, len(clusters)):
-                shared = {users[a] for a in clusters[i]} & {users[a] for a in clusters[j]}
-                gap = float(np.hypot(*(centre[i] - centre[j])[:2]))
-                if len(shared) <= 1 and gap <= within and min(len(clusters[i]), len(clusters[j])) >= least:
-                    if best is None or gap < best[0]:
-                        best = (gap, i, j)
-        if best is None:
-            break
-        _, i, j = best
-        have = {users[a] for a in clusters[i]}
-        clusters[i] += [a for a in clusters.pop(j) if users[a] not in have]
-    return clusters
+    n, places = len(clusters), np.arange(len(clusters))
+    names = [{users[a] for a in c} for c in clusters]
+    where: dict = {}
+    for k, own in enumerate(names):
+        for u in own:
+            where.setdefault(u, set()).add(k)
+    centre = np.array([np.median(points[c], axis=0)[:2] for c in clusters]).reshape(n, -1)
+    able, gap, partner = np.array([len(c) >= least for c in clusters], bool), np.full(n, np.inf), np.full(n, -1)
+
+    def gaps(i: int) -> np.ndarray:
+        """Distances from ``i`` to all clusters that it can be merged with, infinite to the others."""
+        d = np.hypot(*(centre[i] - centre).T)
+        shared = np.bincount([k for u in names[i] for k in where[u]], minlength=n)
+        return np.where(able & able[i] & (shared <= 1) & (d <= within) & (places != i), d, np.inf)
+
+    def seek(i: int, d: np.ndarray) -> None:
+        after = d[i + 1 :]
+        k = int(after.argmin()) if len(after) else -1
+        gap[i], partner[i] = (after[k], i + 1 + k) if k >= 0 and after[k] < np.inf else (np.inf, -1)
+
+    for i in range(n):
+        seek(i, gaps(i))
+    while n and gap.min() < np.inf:
+        i = int(gap.argmin())
+        j = int(partner[i])
+        clusters[i] += [a for a in clusters[j] if users[a] not in names[i]]
+        for u in names[j]:
+            where[u].discard(j)
+            where[u].add(i)
+        names[i] |= names[j]
+        centre[i], able[j], gap[j], partner[j] = np.median(points[clusters[i]], axis=0)[:2], False, np.inf, -1
+        clusters[j] = []
+        touched = np.nonzero((partner == i) | (partner == j))[0]
+        d = gaps(i)
+        seek(i, d)
+        nearer = (places < i) & ((d < gap) | ((d == gap) & (d < np.inf) & (i < partner)))
+        gap[nearer], partner[nearer] = d[nearer], i
+        for k in touched:
+            if k != i:
+                seek(int(k), gaps(int(k)))
+    return [c for c in clusters if c]
 
 
 def cliques(n: int, edges) -> list[list[int]]:

@@ -30,6 +30,27 @@ def test_ward_and_clusters(n, seed):
         assert all(len({users[i] for i in p}) == len(p) for p in other)
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 80), st.integers(0, 10_000))
+def test_linkage_in_tiles(n, seed):
+    rng = np.random.default_rng(seed)
+    points, users = rng.uniform(0, 100, (n, 2)), rng.integers(0, n, n).tolist()
+    for p in (points, np.concatenate([points, points[: n // 5]])):  # equal points may merge in another order
+        want, got = cluster.ward(cluster.pairwise(p)), cluster.ward_rows(p, tile=8, whole=12, axes=3)
+        assert np.allclose([m[2] for m in want], sorted(m[2] for m in got), atol=1e-3)
+        assert [m[3] for m in got][-1:] == [m[3] for m in want][-1:]
+        if p is points:
+            assert cluster.cut_by_user(got, users) == cluster.cut_by_user(want, users)
+
+
+def test_split_clicks_are_merged_until_none_is_left():
+    """120 spots with two clusters each: all are merged; a shared second mark is left out."""
+    points = np.array([[100.0 * s + x, 0] for s in range(120) for x in (0, 1, 6, 7)])
+    users = [u for s in range(120) for u in ("a", "b", "c", "a" if s == 0 else "d")]
+    clusters = [[4 * s + k, 4 * s + k + 1] for s in range(120) for k in (0, 2)]
+    assert cluster.merge_split_clicks(clusters, points, users) == [[0, 1, 2]] + [[4 * s + k for k in range(4)] for s in range(1, 120)]
+
+
 def test_dbscan_friends_and_cliques():
     p = np.array([[0, 0], [1, 0], [2, 0], [50, 50], [51, 50], [99, 0]], float)
     assert cluster.dbscan(p, 1.5, 2).tolist() == [0, 0, 0, 1, 1, -1]

@@ -93,6 +93,32 @@ def test_marks_left_out_by_split_clicks_are_in_no_cluster(spark):
         assert len({(r["cluster"], r["volunteer"]) for r in out}) == len(out)
 
 
+def test_split_clicks_of_a_crowded_subject_equal_one_pass(spark):
+    """Groups above ``chunk`` marks, one of them without repeated volunteers, have the clusters of one pass over all marks."""
+    rng = np.random.default_rng(10)
+    points = [p.tolist() for p in rng.uniform(0, 500, (300, 2))]
+    rows = [(1, s, "T", "point", s * 1000 + n, 0, f"u{n % 90 if s == 9 else n}", 0, p) for s in (9, 10) for n, p in enumerate(points)]
+    out = markings.cluster_marks(spark.createDataFrame(rows, MARK), "split_clicks", chunk=50)
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r["subject_id"], r["cluster"]].append(r["id"] - r["subject_id"] * 1000)
+    nodes = {r["id"]: r["n"] for r in spark.createDataFrame(rows, MARK).select("id", F.xxhash64("id", "item").alias("n")).collect()}
+    for s in (9, 10):
+        order = sorted(range(300), key=lambda n: nodes[s * 1000 + n])
+        want = markings.KERNELS["split_clicks"](np.array([points[n] for n in order]), [f"u{n % 90 if s == 9 else n}" for n in order])
+        assert sorted(sorted(v) for k, v in got.items() if k[0] == s) == sorted(sorted(order[i] for i in c) for c in want)
+
+
+def test_linkage_in_tiles_equals_one_pass(spark):
+    rng = np.random.default_rng(11)
+    points = np.concatenate([rng.normal(0, 5, (500, 2)), rng.uniform(0, 1000, (100, 2))])
+    users = rng.integers(0, 300, 600).tolist()
+    want = kernels.ward(kernels.pairwise(points))
+    got = kernels.ward_rows(points, markings.by_tasks(spark), tile=24, whole=60)
+    assert sorted(m[2] for m in got) == pytest.approx([m[2] for m in want])
+    assert kernels.cut_by_user(got, users) == kernels.cut_by_user(want, users)
+
+
 def test_connected_lines_run_through_bands(spark):
     """Upright strokes, each lying along the next: bands see parts of the chain only, whichever mark is the least."""
     rows = [(1, 9, n, 0, "text", [50.0, 50.0, 15.0 * n, 15.0 * n + 95]) for n in range(60)] + [(1, 9, 99, 0, "text", [500.0, 900.0, 20.0, 20.0])]
