@@ -132,8 +132,11 @@ def _on_axes(spots: np.ndarray, count: np.ndarray, axes: int, run) -> np.ndarray
 
 def _part_on_axes(shared, k: int) -> np.ndarray:
     spots, mean, to, parts = shared
-    step = max(1, 1_000_000 // len(spots))
-    return np.concatenate([(_distances(spots[parts[k][i : i + step]], spots) - mean) @ to for i in range(0, len(parts[k]), step)])
+    rows, out, step = spots[parts[k]], np.zeros((len(parts[k]), to.shape[1])), 1000
+    for i in range(0, len(rows), 64):
+        for a in range(0, len(spots), step):
+            out[i : i + 64] += (_distances(rows[i : i + 64], spots[a : a + step]) - mean[a : a + step]) @ to[a : a + step]
+    return out
 
 
 def _tiles(middle: np.ndarray, most: int) -> list[np.ndarray]:
